@@ -176,15 +176,22 @@ def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     out = base.join(plan_df, "__pattern").join(edge, "__pattern", "left").withColumn("__slot", slot)
     at_edge = F.col("__slot") == F.col("__edge")
     inside = F.col("__slot") < F.coalesce("__edge", F.lit(SLOTS) * (F.col("rest") > 0).cast("int"))
-    # Within the edge's slot (1/1024 of a pattern) rows count in the order of the hash; the row that crosses the quota
-    # is taken if that comes nearer to it.
+    # Within the edge's slot (1/1024 of a pattern) rows count in the order of the hash, as long as they fit.
     w = Window.partitionBy("__pattern").orderBy("__hash", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("size").over(w)
-    edged = out.where(at_edge).withColumn("extra", ((upto - F.col("size") / 2) <= F.col("__left")).cast("long"))
+    edged = out.where(at_edge).withColumn("extra", (F.sum("size").over(w) <= F.col("__left")).cast("long"))
     others = out.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", inside.cast("long"))
-    both = edged.unionByName(others)
-    own = [c for c in rows.columns]
-    return both.select(*own, "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken"), (F.col("whole") + F.col("extra")).alias("copies"))
+    both = written(edged.unionByName(others).withColumn("__row", F.monotonically_increasing_id()))
+    # One more row a pattern: the largest that still fits.
+    short = both.groupBy("__pattern").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("__short"))
+    if len(plan) <= BROADCAST_PATTERNS:
+        short = F.broadcast(short)
+    fits = both.where("extra = 0 AND size > 0").join(short, "__pattern").where("size <= __short")
+    fill = fits.groupBy("__pattern").agg(F.max_by("__row", F.struct("size", "__hash", "__row")).alias("__fill"))
+    if len(plan) <= BROADCAST_PATTERNS:
+        fill = F.broadcast(fill)
+    filled = both.join(fill, "__pattern", "left").withColumn("extra", F.col("extra") + F.coalesce((F.col("__row") == F.col("__fill")).cast("long"), F.lit(0)))
+    taken = F.col("whole") + F.col("extra")
+    return filled.select(*rows.columns, "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
