@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic_ann, byte_bpe, exact_dedup, lattice_lm, minhash, mixing, pii, quality, token_output
+from . import anisotropic_ann, byte_bpe, exact_dedup, lattice_lm, minhash, mixing, pii, quality, suffix_dedup, token_output
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_pii, op3_lattice_lm, op4_quality, op5_token_output, op7_minhash, op8_byte_bpe, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_pii, op3_lattice_lm, op4_quality, op5_token_output, op6_suffix_dedup, op7_minhash, op8_byte_bpe, op9_mixing, op10_exact_dedup)}
 
 ORACLES = {
     "op7_minhash": r"""
