@@ -1,0 +1 @@
+"""A lakehouse quality and analytics engine on Spark alone: raw files to typed tables to business questions."""
