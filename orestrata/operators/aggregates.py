@@ -33,11 +33,13 @@ def lateness_percentiles(df: DataFrame, event: str, arrival: str, at: Sequence[f
 
 
 def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Groups in which two versions differ in row count or in the sum of a value."""
-    side = lambda df, s: df.groupBy(*keys).agg(F.count("*").alias(f"n_{s}"), *[F.sum(v).alias(f"{v}_{s}") for v in values])
-    both = side(a, "a").join(side(b, "b"), list(keys), "full_outer")
-    pairs = ["n", *values]
-    differ = ~F.col("n_a").eqNullSafe(F.col("n_b"))
+    """Groups in which two versions differ in row count or in the sum of a value; null keys are a group. One shuffle."""
+    tagged = a.select(*keys, *values).withColumn("_a", F.lit(True)).unionByName(b.select(*keys, *values).withColumn("_a", F.lit(False)))
+    sides = {"a": F.col("_a"), "b": ~F.col("_a")}
+    both = tagged.groupBy(*keys).agg(
+        *[F.count_if(side).alias(f"n_{s}") for s, side in sides.items()], *[F.sum(F.when(side, F.col(v))).alias(f"{v}_{s}") for v in values for s, side in sides.items()],
+    )
+    differ = F.col("n_a") != F.col("n_b")
     for v in values:
         differ = differ | ~F.col(f"{v}_a").eqNullSafe(F.col(f"{v}_b"))
-    return both.where(differ).select(*keys, *[f"{p}_{s}" for p in pairs for s in "ab"])
+    return both.where(differ)

@@ -48,7 +48,7 @@ def read_csv_by_header(spark: SparkSession, paths: Sequence[str]) -> DataFrame |
 def new_files(spark: SparkSession, folder: str, max_files: int = 1000, glob: str = "*.csv") -> DataFrame:
     """A stream of the paths of files not seen before."""
     return (
-        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .load(folder).select("path")
     )
 
