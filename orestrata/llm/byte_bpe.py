@@ -20,6 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A text of more characters is cut; also the least distance between cuts.
 PIECE = 20_000
@@ -61,10 +62,9 @@ def encode(text: str | None, encoder, piece: int = PIECE) -> list[int]:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of docs and ids array<int>: the ids of text."""
-    schema = docs.schema.add("ids", "array<int>") if "ids" not in docs.columns else None
-    if schema is None:
-        raise ValueError("docs has a column ids already")
+    """The columns of docs and ids array<int>: the ids of text. A column ids of docs is replaced."""
+    docs = docs.drop("ids")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         encoder = encoding(path, pattern)
@@ -76,7 +76,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_documents(rows: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
-    """The columns of rows and decoded binary: the raw bytes of the ids, whether or not they are valid UTF-8."""
+    """The columns of rows and decoded binary: the raw bytes of the ids, whether or not they are valid UTF-8. A column
+    decoded of rows is replaced."""
+    rows = rows.drop("decoded")
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         encoder = encoding(path, pattern)
@@ -84,7 +87,7 @@ def decode_documents(rows: DataFrame, path: str, pattern: str, column: str = "id
             out = pa.array([encoder.decode_bytes(ids or []) for ids in b.column(column).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "binary"))
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -22,6 +22,8 @@ from .common import WORD, written
 
 #: Parts of the hash range in which a pattern's words are summed before the quota's place is known.
 SLOTS = 1024
+#: Single rows added to a pattern to come nearer to its quota, at most.
+FILLS = 8
 #: Up to so many patterns the plan is broadcast (under 1 MB); beyond, it is joined.
 BROADCAST_PATTERNS = 5_000
 
@@ -181,16 +183,26 @@ def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     edged = out.where(at_edge).withColumn("extra", (F.sum("size").over(w) <= F.col("__left")).cast("long"))
     others = out.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", inside.cast("long"))
     both = written(edged.unionByName(others).withColumn("__row", F.monotonically_increasing_id()))
-    # One more row a pattern: the largest that still fits.
-    short = both.groupBy("__pattern").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("__short"))
-    if len(plan) <= BROADCAST_PATTERNS:
-        short = F.broadcast(short)
-    fits = both.where("extra = 0 AND size > 0").join(short, "__pattern").where("size <= __short")
-    fill = fits.groupBy("__pattern").agg(F.max_by("__row", F.struct("size", "__hash", "__row")).alias("__fill"))
-    if len(plan) <= BROADCAST_PATTERNS:
-        fill = F.broadcast(fill)
-    filled = both.join(fill, "__pattern", "left").withColumn("extra", F.col("extra") + F.coalesce((F.col("__row") == F.col("__fill")).cast("long"), F.lit(0)))
-    taken = F.col("whole") + F.col("extra")
+    # More rows a pattern, one a round: the largest that still fits.
+    chosen: list[tuple[int]] = []
+    short = {r["__pattern"]: r.short for r in both.groupBy("__pattern").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("short")).collect()}
+    for _ in range(FILLS):
+        wanting = [(p, s) for p, s in short.items() if s > 0]
+        if not wanting:
+            break
+        limits = spark.createDataFrame(wanting, "__pattern string, __short long")
+        fits = both.where("extra = 0 AND size > 0").join(F.broadcast(limits) if len(wanting) <= BROADCAST_PATTERNS else limits, "__pattern").where("size <= __short")
+        if chosen:
+            fits = fits.join(spark.createDataFrame(chosen, "__row long"), "__row", "left_anti")
+        found = fits.groupBy("__pattern").agg(F.max(F.struct("size", "__hash", "__row")).alias("best")).collect()
+        if not found:
+            break
+        for r in found:
+            chosen.append((r.best["__row"],))
+            short[r["__pattern"]] -= r.best["size"]
+    extra = spark.createDataFrame(chosen, "__row long").withColumn("__more", F.lit(1).cast("long"))  # FILLS rows a pattern at most
+    filled = both.join(F.broadcast(extra) if len(chosen) <= BROADCAST_PATTERNS else extra, "__row", "left")
+    taken = F.col("whole") + F.col("extra") + F.coalesce("__more", F.lit(0))
     return filled.select(*rows.columns, "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
 
 
@@ -209,4 +221,4 @@ def repeat_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: each document as many times as it is taken, all its columns."""
     ids = mix_documents(docs, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     out = docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

@@ -216,8 +216,9 @@ def repeated_starts(pieces: list[bytes], docs: np.ndarray, firsts: np.ndarray, c
     use = np.flatnonzero(place < counts[owner])
     owner, place, interval = owner[use], place[use], interval[use]
     rank = np.lexsort((firsts[owner] + place, docs[owner], interval))
-    later = np.zeros(len(rank), bool)
-    later[1:] = interval[rank][1:] == interval[rank][:-1]
+    group, doc, start = interval[rank], docs[owner[rank]], (firsts[owner] + place)[rank]
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)], np.arange(len(group)), 0))
+    later = (doc != doc[head]) | (start != start[head])  # rows that repeat a document name the same places
     out = [np.zeros(c, bool) for c in counts.tolist()]
     for i, j in zip(owner[rank[later]].tolist(), place[rank[later]].tolist(), strict=True):
         out[i][j] = True
