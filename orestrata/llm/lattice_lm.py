@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,12 @@ FREQUENT = 20_000
 #: Added to each piece's count.
 SMOOTHING = 0.5
 #: Words whose probability a worker keeps.
-_KEEP = 300_000
+_KEEP = 150_000
+#: Texts scored at once, and the longest word (bytes) that is scored side by side with others.
+_TEXTS, _SIDE = 256, 64
 _SPACE = "▁".encode()
+_ODD = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @lru_cache(maxsize=2)
@@ -52,23 +57,79 @@ def _pieces(path: str):
 
 
 class Lattice:
-    """Log probabilities of pieces and of the end; prefixes tell when no longer piece can follow."""
+    """Log probabilities of pieces and of the end.
+
+    Words of one length run through the forward recursion side by side: a piece is found by a hash of its bytes in
+    tables without collisions. Longer words go one by one, over the pieces' prefixes."""
 
     def __init__(self, scores: dict[bytes, float], end: float):
         self.scores, self.end = scores, end
-        self.steps: dict[bytes, float | None] = {p[:k]: None for p in scores for k in range(1, len(p))} | scores
         self.known: dict[bytes, float] = {}
-
-    def word(self, word: bytes) -> float:
-        """Natural log of the summed probability of all segmentations of a word after its space mark."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > _KEEP:
-                self.known.clear()
-            found = self.known[word] = self.forward(_SPACE + word)
+        self.longest = max(map(len, scores), default=0)
+        size = _SIDE + len(_SPACE) + 1
+        self.power = np.multiply.accumulate(np.array([1] + [_ODD] * size, np.uint64))
+        self.inverse = np.multiply.accumulate(np.array([1] + [pow(_ODD, -1, 1 << 64)] * size, np.uint64))
+        short = [p for p in scores if len(p) <= size]
+        keys = np.array([int(self._sums(np.frombuffer(p, np.uint8)[None])[0, -1]) for p in short], np.uint64)
+        values = np.array([scores[p] for p in short])
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        shift = 44
+        while len(keys):
+            slot = (keys >> np.uint64(shift)).astype(np.int64)
+            _, first = np.unique(slot, return_index=True)
+            key, value = np.zeros(1 << (64 - shift), np.uint64), np.full(1 << (64 - shift), -np.inf)
+            key[slot[first]], value[slot[first]] = keys[first], values[first]
+            self.tables.append((shift, key, value))
+            rest = np.setdiff1d(np.arange(len(keys)), first)
+            keys, values = keys[rest] * np.uint64(_ODD), values[rest]
+        self.steps: dict[bytes, float | None] = {}
+
+    def _sums(self, words: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+        np.cumsum(_BYTE[words] * self.power[: words.shape[1]], axis=1, out=out[:, 1:])
+        return out
+
+    def _score(self, key: np.ndarray) -> np.ndarray:
+        found = np.full(len(key), -np.inf)
+        for shift, keys, values in self.tables:
+            slot = (key >> np.uint64(shift)).astype(np.int64)
+            hit = np.flatnonzero(keys[slot] == key)
+            found[hit] = values[slot[hit]]
+            key = key * np.uint64(_ODD)
         return found
 
+    def learn(self, words: set[bytes]) -> None:
+        """Makes known the natural logs of the summed probabilities of all segmentations of the words, each after its
+        space mark."""
+        if len(self.known) > _KEEP:
+            self.known.clear()
+        by_size: dict[int, list[bytes]] = {}
+        for w in words - self.known.keys():
+            by_size.setdefault(len(w), []).append(w)
+        for size, group in by_size.items():
+            if size > _SIDE:
+                self.known.update((w, self.forward(_SPACE + w)) for w in group)
+            else:
+                self.known.update(zip(group, self._side_by_side(group, size).tolist(), strict=True))
+
+    def _side_by_side(self, group: list[bytes], size: int) -> np.ndarray:
+        n = size + len(_SPACE)
+        text = np.frombuffer(b"".join([_SPACE + w for w in group]), np.uint8).reshape(len(group), n)
+        sums = self._sums(text).T.copy()
+        alpha = np.full((n + 1, len(group)), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                score = self._score((sums[j] - sums[i]) * self.inverse[i])
+                at = np.flatnonzero(score > -np.inf)
+                if len(at):
+                    alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + score[at])
+        return alpha[n]
+
     def forward(self, text: bytes) -> float:
+        """The same for one text of any length."""
+        if not self.steps:
+            self.steps = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
         n, steps, exp, log1p, none = len(text), self.steps, math.exp, math.log1p, -math.inf
         alpha = [none] * (n + 1)
         alpha[0] = 0.0
@@ -142,26 +203,31 @@ def score(docs: DataFrame, path: str, mod: int = 7, held: int = 2) -> DataFrame:
         lattice = piece_scores(lattice_of, ends, _pieces(path)[1])
         ln10, log10 = math.log(10), math.log10
         common = {w: log10(c + 1) for w, c in frequent.items()}
-        for b in batches:
-            out: list[tuple] = []
-            for text in b.column("text").to_pylist():
-                count = Counter(words(text))
-                size, known, base, total, rare = 1, int(ends > 0), log10(ends + 1), lattice.end, []
-                for w, k in count.items():
-                    size += k
-                    total += k * lattice.word(w)
-                    c = common.get(w)
-                    if c is None:
-                        rare.append((w, k))
-                    else:
-                        known += k
-                        base += k * c
-                out.append((size, known, base, total / ln10, rare))
-            size, known, base, total, rare = ([r[i] for r in out] for i in range(5))
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-            lists = pa.array([[{"word": w, "k": k} for w, k in r] for r in rare], kind)
-            columns = [b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, _TEXTS):
+                b = whole.slice(first, _TEXTS)
+                counts_of = [Counter(words(text)) for text in b.column("text").to_pylist()]
+                lattice.learn(set().union(*counts_of))
+                marginal = lattice.known
+                size, known, base, total, ends_at, rare, times = [], [], [], [], [0], [], []
+                for count in counts_of:
+                    all_of, seen, part, log = 1, int(ends > 0), log10(ends + 1), lattice.end
+                    for w, k in count.items():
+                        all_of += k
+                        log += k * marginal[w]
+                        c = common.get(w)
+                        if c is None:
+                            rare.append(w)
+                            times.append(k)
+                        else:
+                            seen += k
+                            part += k * c
+                    for column, value in ((size, all_of), (known, seen), (base, part), (total, log / ln10), (ends_at, len(rare))):
+                        column.append(value)
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
+                lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pairs)
+                columns = [b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: binary, k: long>>"
     scored = written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
