@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import edge_rows
+from samples import edge_rows
 from orestrata.llm import components, exact_dedup, minhash, queries
 from orestrata.llm.common import shared_dir
 from pyspark.sql import functions as F

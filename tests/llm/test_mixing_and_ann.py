@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import edge_rows
+from samples import edge_rows
 from orestrata.llm import anisotropic_ann as ann
 from orestrata.llm import mixing
 from pyspark.sql import functions as F

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import edge_rows
+from samples import edge_rows
 from orestrata.llm import mixing, quality
 from test_exact_and_near import exact, near
 

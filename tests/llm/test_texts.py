@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 import pytest
-from conftest import edge_rows
+from samples import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from orestrata.llm import byte_bpe, lattice_lm, pii, quality, range_coder, token_output
