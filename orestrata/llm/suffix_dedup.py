@@ -30,7 +30,7 @@ from .common import written
 
 LENGTH, GRAM = 100, 32
 #: Strings a scan handles at once; bytes of pieces that a shard holds, and that are merged at once.
-SLICE, SHARD, TOGETHER = 1 << 19, 1 << 20, 1 << 23
+SLICE, SHARD, TOGETHER = 1 << 19, 1 << 19, 1 << 21
 #: Unequal pieces of an anchor that one task compares.
 HOT = 20_000
 #: Bits of a bitmap, least and most (16 MB).
@@ -166,9 +166,9 @@ def shard_transform(symbols: np.ndarray, stride: int, offset: np.ndarray, size:
 def merge(transforms: list[np.ndarray], depth: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Refines the interleave of the shards' transforms depth times. Returns the shard of each entry of the merged order,
     the entry's interval (entries in one interval share depth symbols) and the common symbols with the entry before."""
-    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms])
-    interval = np.zeros(len(shard), np.int64)
-    common = np.full(len(shard), depth)
+    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
+    interval = np.zeros(len(shard), np.int32)
+    common = np.full(len(shard), depth, np.int8)
     for k in range(depth):
         symbols = np.empty(len(shard), _U)
         for s, t in enumerate(transforms):
@@ -178,7 +178,7 @@ def merge(transforms: list[np.ndarray], depth: int = 4) -> tuple[np.ndarray, np.
         apart = np.ones(len(order), bool)
         apart[1:] = (symbols[1:] != symbols[:-1]) | (np.diff(interval[order]) != 0) | (symbols[1:] == 0)
         shard = shard[order]
-        interval = np.cumsum(apart)
+        interval = np.cumsum(apart, dtype=np.int32)
         common[apart & (common == depth)] = k  # places of boundaries stay boundaries
     return shard, interval, common
 
@@ -207,10 +207,10 @@ def repeated_starts(pieces: list[bytes], docs: np.ndarray, firsts: np.ndarray, c
         symbols[full] = Prefix(data).all_of(stride)[full] | _U(1)  # 0 stays free
         order, transform = shard_transform(symbols, stride, offset, sizes[piece])
         transforms.append(transform)
-        owners.append(np.array(own)[piece[order]])
-        places.append(offset[order])
+        owners.append(np.array(own, np.int32)[piece[order]])
+        places.append(offset[order].astype(np.int32))
     which, interval, _ = merge(transforms)
-    owner, place = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
+    owner, place = np.empty(len(which), np.int32), np.empty(len(which), np.int32)
     for s in range(len(shards)):
         owner[which == s], place[which == s] = owners[s], places[s]
     use = np.flatnonzero(place < counts[owner])
