@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")))
         steps.append(to)
+        to = small(to)
         at_a = edges.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
         at_b = at_a.join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
         edges = written(at_b.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
@@ -29,5 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
     while steps:
         first = steps.pop()
         later = out.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        out = written(first.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        out = written(first.join(small(later), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
     return out

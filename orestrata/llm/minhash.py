@@ -3,8 +3,9 @@
 Two permutations of the 32-bit ids give all coordinates: the first is applied once to a shingle's id, the second is
 shifted circularly by k for coordinate k. Documents with equal sets are one class; only a representative goes on.
 Representatives that share a band meet the best connected member of that band's bucket (a star, not all pairs); links
-are confirmed on full shingle sets. Members that a star leaves in another component meet further leaders, and at last,
-in buckets that are still split, every pair of unlike components: no candidate pair is left out.
+are confirmed on full shingle sets. Members that a star leaves in another component meet further leaders. What is still
+split then is compared through prefixes of the sets, rarest shingles first, which lose no similar pair: so no candidate
+is left out, and families of texts that are alike without being similar do not meet pair by pair.
 
 With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with probability 5e-6.
 
@@ -28,8 +29,10 @@ from .components import components
 WORDS, BANDS, ROWS = 5, 32, 4
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-#: Star rounds before the members of split buckets meet pair by pair.
-STARS = 3
+#: Star rounds over the bands' buckets, and again over prefixes.
+STARS = 2
+#: Shingles put in the order of their frequency, at most.
+FREQUENT = 50_000
 
 _U64, _U32 = np.uint64, np.uint32
 _MIX = tuple(_U64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -149,39 +152,104 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
     return both.select("a", "b", "ids_a", "ids_b").mapInArrow(run, "a long, b long")
 
 
+class _Links:
+    """Confirmed pairs and the components so far."""
+
+    def __init__(self, sets: DataFrame, similar: int):
+        self.sets, self.similar = sets, similar
+        self.found = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        self.roots = self.found.withColumnsRenamed({"a": "node", "b": "root"})
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """rows (id) with the current root."""
+        return rows.drop("root").join(self.roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def split(self, rows: DataFrame) -> DataFrame:
+        """The rows whose bucket holds unlike components."""
+        open_ = rows.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("bucket")
+        return rows.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "pos", "support", "root")
+
+    def meet(self, met: DataFrame) -> None:
+        """met: id, n, pos, root against b, m, at, its. Confirms the similar pairs of unlike components.
+
+        If the first shingle that two sets share stands at pos and at, they share no more than what follows there. Pairs
+        for which that is too little are left to the bucket of their first common shingle. (In a band's bucket both are
+        0: then this compares the sizes.)"""
+        enough = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) * (100 + self.similar) >= (F.col("n") + F.col("m")) * self.similar
+        pairs = met.where((F.col("root") != F.col("its")) & enough).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        fresh = written(confirmed(written(pairs), self.sets, self.similar))
+        if fresh.limit(1).count():
+            self.found = self.found.unionByName(fresh)
+            self.roots = written(components(self.found))
+
+    def stars(self, pool: DataFrame) -> DataFrame:
+        """Up to STARS rounds in which each bucket's best connected member meets all others; returns what stays split."""
+        for _ in range(STARS):
+            best = F.max(F.struct("support", (-F.col("id")).alias("x"), "n", "pos", "root")).alias("best")
+            leaders = written(pool.groupBy("bucket").agg(best).select("bucket", (-F.col("best.x")).alias("b"), F.col("best.n").alias("m"), F.col("best.pos").alias("at"), F.col("best.root").alias("its")))
+            self.meet(pool.join(leaders, "bucket"))
+            # A leader has met its whole bucket; the others go on where the bucket still holds unlike components.
+            rest = pool.join(leaders.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
+            pool = written(self.split(self.rooted(rest)))
+            if not pool.limit(1).count():
+                break
+        return pool
+
+
+def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
+    """bucket, id, pos: for each set the ids of its prefix in an order that puts frequent ids last. Two sets that are similar
+    enough share one of those. The ids that hold over 1 / FREQUENT of all entries (so at most FREQUENT) are ordered by
+    frequency, all rarer ones stand before them in the order of their value."""
+
+    def entries(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("ids").slice(at, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part))], names=["s"])
+
+    counts = written(sets.select("ids").mapInArrow(entries, "s long").groupBy("s").agg(F.count("*").alias("c")))
+    least = max(1, (counts.agg(F.sum("c")).first()[0] or 0) // FREQUENT)
+    often = counts.where(F.col("c") > least).orderBy("c", "s").select("s").toArrow().column("s").to_numpy()  # at most FREQUENT
+    by_value = np.argsort(often)
+    often = often[by_value]
+
+    def run(batches):
+        for b in batches:
+            tokens, owners, places = [], [], []
+            for owner, value in zip(b.column("id").to_pylist(), b.column("ids"), strict=True):
+                ids = np.frombuffer(value.as_buffer(), np.int64)
+                size = len(ids) - -(-similar * len(ids) // 100) + 1
+                rank = np.zeros(len(ids), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, ids), len(often) - 1)
+                    rank = np.where(often[at] == ids, by_value[at] + 1, 0)
+                tokens.append(ids[np.lexsort((ids, rank))[:size]])
+                owners.append(np.full(len(tokens[-1]), owner))
+                places.append(np.arange(len(tokens[-1])))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], names=["bucket", "id", "pos"])
+
+    return sets.select("id", "ids").mapInArrow(run, "bucket long, id long, pos long")
+
+
 def links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar: int = SIMILAR) -> DataFrame:
     """members: bucket, id, n, cnt (rows of the bucket). Returns confirmed pairs (a, b) that join every two similar ids
     sharing a bucket into one component."""
     support = members.groupBy("id").agg(F.sum("cnt").alias("support"))
-    pool = written(members.join(support, "id").select("bucket", "id", "n", "support", F.col("id").alias("root")))
-    sets = written(sets_of(pool.select("id").distinct()))
-    sizes_fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * similar
-    empty = pool.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    found, tried, roots = empty, empty, empty.withColumnsRenamed({"a": "node", "b": "root"})
-    for turn in range(STARS + 1):
-        if turn < STARS:  # the best connected member of each bucket leads it
-            best = F.max(F.struct("support", (-F.col("id")).alias("x"), "n", "root")).alias("best")
-            leaders = written(pool.groupBy("bucket").agg(best).select("bucket", (-F.col("best.x")).alias("b"), F.col("best.n").alias("m"), F.col("best.root").alias("its")))
-            met = pool.join(leaders, "bucket")
-        else:  # what is left: all pairs of unlike components
-            other = pool.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("its"))
-            met = pool.join(other, "bucket").where(F.col("id") < F.col("b"))
-        pairs = met.where((F.col("root") != F.col("its")) & sizes_fit).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            found = found.unionByName(written(confirmed(pairs, sets, similar)))
-            tried = tried.unionByName(pairs)
-            roots = written(components(found))
-        if turn == STARS:
-            break
-        # A leader has met its whole bucket; the others go on where the bucket still holds unlike components.
-        rest = pool.drop("root").join(leaders.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
-        rest = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = rest.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open")
-        pool = written(rest.join(split, "bucket", "left_semi").select("bucket", "id", "n", "support", "root"))
-        if not pool.limit(1).count():
-            break
-    return found
+    pool = written(members.join(support, "id").select("bucket", "id", "n", F.lit(0).cast("long").alias("pos"), "support", F.col("id").alias("root")))
+    state = _Links(written(sets_of(pool.select("id").distinct())), similar)
+    pool = state.stars(pool)
+    if pool.limit(1).count():
+        # Documents left in split buckets are mostly alike but not similar. Of these, only such pairs can be similar as
+        # share an id of their prefixes: those are their new buckets.
+        left = pool.groupBy("id").agg(F.first("n").alias("n"), F.first("support").alias("support"), F.first("root").alias("root"))
+        prefixes = _prefixes(written(state.sets.join(left.select("id"), "id", "left_semi")), similar)
+        pool = written(state.split(prefixes.join(left, "id")))
+        if pool.limit(1).count():
+            pool = state.stars(pool)
+            other = pool.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("its"))
+            state.meet(pool.join(other, "bucket").where(F.col("id") < F.col("b")))
+    return state.found
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, similar: int = SIMILAR) -> DataFrame:
