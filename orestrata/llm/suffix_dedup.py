@@ -39,6 +39,8 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 LAST = (1 << 63) - 1
 
 _U = np.uint64
+#: Bits of a place within a slice.
+_PLACE = _U((1 << 20) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: list[np.ndarray] = []
@@ -86,16 +88,14 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     for first in range(0, len(data) - length + 1, SLICE):
         part = data[first : first + SLICE + length - 1]
         prefix = Prefix(part)
-        value = hashes = prefix.all_of(gram)
+        hashes = prefix.all_of(gram)
         window, n, span = length - gram + 1, len(part) - length + 1, 1
-        place = np.arange(len(value))
+        # A hash's upper bits over its place: the least of a window is the first of its least grams.
+        value = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=_U)
         while span * 2 <= window:
-            later = value[span:] < value[:-span]
-            place = np.where(later, place[span:], place[:-span])
             value = np.minimum(value[:-span], value[span:])
             span *= 2
-        rest = window - span
-        place = np.where(value[rest : rest + n] < value[:n], place[rest : rest + n], place[:n])
+        place = (np.minimum(value[window - span :][:n], value[:n]) & _PLACE).view(np.int64)
         cut = np.flatnonzero(np.diff(place)) + 1
         start = np.concatenate([[0], cut])
         count = np.diff(np.concatenate([start, [n]]))
