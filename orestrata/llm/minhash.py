@@ -32,7 +32,7 @@ SIMILAR = 75
 #: Star rounds over the bands' buckets, and again over prefixes.
 STARS = 2
 #: Shingles put in the order of their frequency, at most.
-FREQUENT = 50_000
+FREQUENT = 1_000_000
 
 _U64, _U32 = np.uint64, np.uint32
 _MIX = tuple(_U64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -210,8 +210,8 @@ def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
     counts = written(sets.select("ids").mapInArrow(entries, "s long").groupBy("s").agg(F.count("*").alias("c")))
     least = max(1, (counts.agg(F.sum("c")).first()[0] or 0) // FREQUENT)
     often = counts.where(F.col("c") > least).orderBy("c", "s").select("s").toArrow().column("s").to_numpy()  # at most FREQUENT
-    by_value = np.argsort(often)
-    often = often[by_value]
+    by_value = np.argsort(often).astype(np.int32)
+    often = often[by_value]  # 12 MB at most, sent once to each worker
 
     def run(batches):
         for b in batches:
@@ -219,7 +219,7 @@ def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
             for owner, value in zip(b.column("id").to_pylist(), b.column("ids"), strict=True):
                 ids = np.frombuffer(value.as_buffer(), np.int64)
                 size = len(ids) - -(-similar * len(ids) // 100) + 1
-                rank = np.zeros(len(ids), np.int64)
+                rank = np.zeros(len(ids), np.int32)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, ids), len(often) - 1)
                     rank = np.where(often[at] == ids, by_value[at] + 1, 0)
