@@ -29,8 +29,10 @@ from .common import shared_dir
 
 #: Ids in a chunk, at least (the last of a part aside): one set of lanes of whole blocks.
 CHUNK = range_coder.BLOCK * range_coder.LANES
-#: Words whose ids a worker keeps.
-_KEEP = 400_000
+#: Words whose ids a worker keeps, and that are encoded as one text.
+_KEEP, _TOGETHER = 600_000, 2000
+#: A control character that stands between words encoded together; its one id then parts theirs.
+_MARK = "\x01"
 _SCHEMA = "part int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>, bytes binary"
 
 
@@ -41,19 +43,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def batch(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
         split = [t.encode().split() if t else [] for t in texts]
         if len(self.known) > _KEEP:
             self.known.clear()
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = array("I", e.ids).tobytes()
+        self.learn([*{w for ws in split for w in ws} - self.known.keys()])
         last = array("I", [end]).tobytes()
         return [np.frombuffer(b"".join([*map(self.known.__getitem__, ws), last]), np.uint32) for ws in split]
 
 
+    def learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if self.mark is not None and b"\x01" not in w]
+        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        texts = [f" {_MARK} ".join([w.decode() for w in g]) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(group) - 1:
+                raise RuntimeError("words encoded together were not parted")
+            data, ends = ids.tobytes(), [*(marks * 4).tolist(), 4 * len(ids)]
+            start = 0
+            for word, end in zip(group, ends, strict=True):
+                self.known[word] = data[start:end]
+                start = end + 4
+        for word in words if self.mark is None else [w for w in words if b"\x01" in w]:
+            self.known[word] = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
