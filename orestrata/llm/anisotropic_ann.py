@@ -3,7 +3,9 @@
 A vector is cut into subspaces with 16 centres each. Centres and codes minimise a loss in which the part of the residual
 parallel to the vector weighs more than the rest, since it is what changes large inner products. A scan adds up, for a
 block of queries against a block of rows, table entries picked by the codes (two four-bit codes a byte, so 256 entries a
-table); the best of each block are scored again on the original vectors in double precision.
+table). The best of each block are scored again on the original vectors in double precision, and so is every further row
+whose scanned score, plus what its residual can add to it at most, reaches the k-th best exact score of those: the codes
+decide what is scored again, not what is found.
 
 The codebook is fitted on at most FIT_ROWS vectors, those with the smallest hash of their id; every row is coded and
 scanned. Queries and rows meet block by block; a block's result is k rows a query.
@@ -28,7 +30,7 @@ from .common import written
 
 #: Vectors that the codebook is fitted on, at most.
 FIT_ROWS = 20_000
-#: Rows and queries of a block; candidates that a block's scan passes on for each query.
+#: Rows and queries of a block; candidates of a block that are scored exactly for each query before the bound is known.
 BLOCK, QUERIES, PASSED = 8_192, 256, 160
 #: Inner products above this part of the norm are those whose error counts.
 THRESHOLD = 0.2
@@ -70,8 +72,13 @@ class Codebook:
 
     def packed(self, x: np.ndarray) -> np.ndarray:
         """rows x bytes: two codes a byte."""
+        return self.coded(x)[0]
+
+    def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """rows x bytes: two codes a byte; and the norm of each row's residual."""
         c = self.codes(x)
-        return (c[:, 0::2] << 4) | c[:, 1::2]
+        residual = self._split(x) - self.centres[np.arange(c.shape[1])[None], c]
+        return (c[:, 0::2] << 4) | c[:, 1::2], np.sqrt(np.square(residual).sum(axis=(1, 2)))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """bytes x 256 x queries: the inner products of each query with each pair of centres."""
@@ -141,8 +148,14 @@ def build(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Codebook | None:
     return fit(np.array([r.vector for r in sample])) if sample else None
 
 
-def _blocks(rows: DataFrame, size: int, code: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
-    """ids, vectors and codes of up to size rows a block, packed; within a block rows are in the order of vec_id."""
+def _scan_error(tables: np.ndarray) -> np.ndarray:
+    """For each query, what single precision can change in the sum of its table entries at most."""
+    single = np.finfo(np.float32)
+    return (len(tables) + 2) * (single.eps * np.abs(tables).max(axis=1).sum(axis=0, dtype=float) + single.tiny)
+
+
+def _blocks(rows: DataFrame, size: int, code: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None) -> DataFrame:
+    """ids, vectors, codes and residual norms of up to size rows a block, packed; within a block rows are in the order of vec_id."""
 
     def run(batches):
         ids, vectors = [], []
@@ -151,8 +164,8 @@ def _blocks(rows: DataFrame, size: int, code: Callable[[np.ndarray], np.ndarray]
             i, x = np.concatenate(ids), np.concatenate(vectors)
             order = np.argsort(i, kind="stable")
             i, x = i[order], x[order]
-            codes = code(x).tobytes() if code else b""
-            return pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([codes], pa.binary())], names=["ids", "vectors", "codes"])
+            codes, errors = (c.tobytes() for c in code(x)) if code else (b"", b"")
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in (i.tobytes(), x.tobytes(), codes, errors)], names=["ids", "vectors", "codes", "errors"])
 
         held = 0
         for b in batches:
@@ -170,18 +183,18 @@ def _blocks(rows: DataFrame, size: int, code: Callable[[np.ndarray], np.ndarray]
         if held:
             yield block()
 
-    return rows.mapInArrow(run, "ids binary, vectors binary, codes binary")
+    return rows.mapInArrow(run, "ids binary, vectors binary, codes binary, errors binary")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, fit_rows: int = FIT_ROWS, passed: int = PASSED) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row for which is_query holds, its k nearest others."""
+    """query_id, rank, vec_id, score: for each row for which is_query holds, its k nearest others, whatever passed is."""
     rows = written(usable(vectors))
     book = build(rows, fit_rows)
     schema = "query_id long, vec_id long, score double"
     if book is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = book.dim
-    stored = written(_blocks(rows, BLOCK, book.packed))  # the index: every row's id, codes and vector
+    stored = written(_blocks(rows, BLOCK, book.coded))  # the index: every row's id, codes, residual norm and vector
     asked = written(_blocks(rows.where(is_query), QUERIES, None).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
 
     def run(batches):
@@ -191,16 +204,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, fit_rows: int = FI
                 x = np.frombuffer(row["vectors"]).reshape(-1, dim)
                 q = np.frombuffer(row["q_vectors"]).reshape(-1, dim)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
+                errors = np.frombuffer(row["errors"])
                 tables = book.tables(q)
+                reach, slack = np.linalg.norm(q, axis=1) * (1 + 1e-9), _scan_error(tables)
                 total = tables[0][codes[:, 0]]
                 for j in range(1, codes.shape[1]):
                     total += tables[j][codes[:, j]]
                 total = np.ascontiguousarray(total.T)
                 out = [[], [], []]
                 for i, own in enumerate(q_ids):
-                    at = _best(total[i], passed)
-                    at = at[ids[at] != own]
-                    exact = (x[at] * q[i]).sum(axis=1)
+                    other = ids != own
+                    first = _best(total[i], passed)
+                    first = first[other[first]]
+                    exact = (x[first] * q[i]).sum(axis=1)
+                    if len(first) >= k:  # what stays below the k-th of these for sure is left; a bound that is no number leaves nothing
+                        other &= ~(total[i] + reach[i] * errors + slack[i] < np.partition(exact, len(exact) - k)[len(exact) - k])
+                    other[first] = False
+                    rest = np.flatnonzero(other)
+                    at = np.concatenate([first, rest])
+                    exact = np.concatenate([exact, (x[rest] * q[i]).sum(axis=1)])
                     order = np.lexsort((ids[at], -exact))[:k]
                     out[0].append(np.full(len(order), own))
                     out[1].append(ids[at][order])

@@ -116,6 +116,24 @@ def test_hot_vector_ties_and_bad_rows(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_hot_group_of_near_copies_in_a_full_block(spark):
+    """A third of a full block are distinct near copies, whose codes hardly differ; every neighbour is found."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(ann.BLOCK, 64))
+    hot = r.permutation(ann.BLOCK)[: ann.BLOCK // 3]
+    near = r.normal(size=(len(hot), 64))
+    x[hot] = r.normal(size=64) + 0.4 * near
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    queries = [i for i in ids if i % 64 == 0]
+    assert len(set(queries) & set(hot.tolist())) > 20
+    got: dict = {}
+    for row in ann.search(df, F.col("vec_id") % 64 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    assert got == {q: [v for v, _ in best] for q, best in exact(ids, x, queries).items()}
+
+
 def test_anisotropic_codes_lower_the_parallel_error():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 32))
