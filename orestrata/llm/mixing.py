@@ -3,7 +3,8 @@
 Documents are aggregated by the set of sources they belong to. A pattern offers its words once for each repetition, each
 repetition dearer than the one before (convex costs); sources ask for their quotas; the cheapest flow says how many
 words each pattern gives. A pattern's whole repetitions go to all its documents, the rest to documents in the order of a
-seeded hash until the quota is met.
+seeded hash, then to those that still fit, then as further copies, so that what a quota lacks in the end is less than the
+smallest row that is not yet taken as often as can be.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own and comes last; a
 document takes a whole number of copies; rows with equal doc_id, source and size share one hash, and each counts;
@@ -14,16 +15,17 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Hashable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, small, written
 
 #: Parts of the hash range in which a pattern's words are summed before the quota's place is known.
 SLOTS = 1024
-#: Single rows added to a pattern to come nearer to its quota, at most.
-FILLS = 8
+#: As long as more rows than these still fit, they are taken by the hash, in rounds; the last ones are taken by size.
+LAST_ROWS = 1_000
 #: Up to so many patterns the plan is broadcast (under 1 MB); beyond, it is joined.
 BROADCAST_PATTERNS = 5_000
 
@@ -137,6 +139,62 @@ def route(capacity: dict[Hashable, tuple[int, Sequence[Hashable]]], quota: dict[
     return given
 
 
+def _dealt(rows: DataFrame, slots: DataFrame, rest: DataFrame, few: bool) -> DataFrame:
+    """rows with extra: 1 for those that count, in the order of slot and hash, as long as they fit into their pattern's rest.
+
+    slots: words by __pattern and slot; rest: __pattern and rest, with what else rows are to get of the pattern.
+    """
+    # The slot in which a pattern's rest is used up, and what is left of it there.
+    before = F.sum("words").over(Window.partitionBy("__pattern").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    edge = (
+        slots.withColumn("before", F.coalesce(before, F.lit(0))).join(rest.select("__pattern", "rest"), "__pattern")
+        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+        .select("__pattern", F.col("slot").alias("__edge"), (F.col("rest") - F.col("before")).alias("__left"))
+    )
+    if few:
+        edge = F.broadcast(edge)
+    out = rows.join(rest, "__pattern").join(edge, "__pattern", "left")
+    at_edge = F.col("__slot") == F.col("__edge")
+    inside = F.col("__slot") < F.coalesce("__edge", F.lit(SLOTS) * (F.col("rest") > 0).cast("int"))
+    # Within the edge's slot (1/1024 of a pattern) rows count in the order of the hash, as long as they fit.
+    w = Window.partitionBy("__pattern").orderBy("__hash", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    edged = out.where(at_edge).withColumn("extra", (F.sum("size").over(w) <= F.col("__left")).cast("long"))
+    others = out.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", inside.cast("long"))
+    return edged.unionByName(others)
+
+
+def _more(rows: DataFrame, short: dict[str, int]) -> DataFrame | None:
+    """__row of the further rows (__row, __pattern, __slot, __hash, doc_id, size) to take, until no row fits into what its pattern is short of.
+
+    A round takes rows in the order of slot and hash until one does not fit, which no later round takes either. Of the last
+    rows the largest that still fits is taken, again and again.
+    """
+    spark = rows.sparkSession
+    parts: list[DataFrame] = []
+    while wanting := [(p, s) for p, s in short.items() if s > 0]:
+        few = len(wanting) <= BROADCAST_PATTERNS
+        limits = spark.createDataFrame(wanting, "__pattern string, rest long")
+        limits = F.broadcast(limits) if few else limits
+        fits = rows.join(limits, "__pattern").where("size <= rest").drop("rest")
+        last = fits.limit(LAST_ROWS + 1).collect()
+        if len(last) <= LAST_ROWS:
+            chosen = []
+            for r in sorted(last, key=lambda r: (r["size"], r["__hash"], r["__row"]), reverse=True):
+                if r["size"] <= short[r["__pattern"]]:
+                    short[r["__pattern"]] -= r["size"]
+                    chosen.append((r["__row"],))
+            if chosen:
+                parts.append(spark.createDataFrame(chosen, "__row long"))
+            break
+        slots = fits.groupBy("__pattern", F.col("__slot").alias("slot")).agg(F.sum("size").alias("words"))
+        round_ = written(_dealt(fits, slots, limits, few).select(*rows.columns, "extra"))
+        for r in round_.where("extra = 1").groupBy("__pattern").agg(F.sum("size").alias("words")).collect():
+            short[r["__pattern"]] -= r.words
+        parts.append(round_.where("extra = 1").select("__row"))
+        rows = round_.where("extra = 0").drop("extra")
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 0) -> DataFrame:
     """rows (doc_id, size and what sources reads) with source_size, target and taken.
 
@@ -166,44 +224,26 @@ def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     plan_df = spark.createDataFrame(plan, "__pattern string, source_size long, target double, whole long, rest long")
     if len(plan) <= BROADCAST_PATTERNS:
         plan_df = F.broadcast(plan_df)
-    # The slot in which a pattern's rest is used up, and what is left of it there.
-    before = F.sum("words").over(Window.partitionBy("__pattern").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    edge = (
-        slots.withColumn("before", F.coalesce(before, F.lit(0))).join(plan_df.select("__pattern", "rest"), "__pattern")
-        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-        .select("__pattern", F.col("slot").alias("__edge"), (F.col("rest") - F.col("before")).alias("__left"))
-    )
-    if len(plan) <= BROADCAST_PATTERNS:
-        edge = F.broadcast(edge)
-    out = base.join(plan_df, "__pattern").join(edge, "__pattern", "left").withColumn("__slot", slot)
-    at_edge = F.col("__slot") == F.col("__edge")
-    inside = F.col("__slot") < F.coalesce("__edge", F.lit(SLOTS) * (F.col("rest") > 0).cast("int"))
-    # Within the edge's slot (1/1024 of a pattern) rows count in the order of the hash, as long as they fit.
-    w = Window.partitionBy("__pattern").orderBy("__hash", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    edged = out.where(at_edge).withColumn("extra", (F.sum("size").over(w) <= F.col("__left")).cast("long"))
-    others = out.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", inside.cast("long"))
-    both = written(edged.unionByName(others).withColumn("__row", F.monotonically_increasing_id()))
-    # More rows a pattern, one a round: the largest that still fits.
-    chosen: list[tuple[int]] = []
+    dealt = _dealt(base.withColumn("__slot", slot), slots, plan_df, len(plan) <= BROADCAST_PATTERNS)
+    both = written(dealt.withColumn("__row", F.monotonically_increasing_id()))
+    # Behind the first row that does not fit others may.
     short = {r["__pattern"]: r.short for r in both.groupBy("__pattern").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("short")).collect()}
-    for _ in range(FILLS):
-        wanting = [(p, s) for p, s in short.items() if s > 0]
-        if not wanting:
-            break
-        limits = spark.createDataFrame(wanting, "__pattern string, __short long")
-        fits = both.where("extra = 0 AND size > 0").join(F.broadcast(limits) if len(wanting) <= BROADCAST_PATTERNS else limits, "__pattern").where("size <= __short")
-        if chosen:
-            fits = fits.join(spark.createDataFrame(chosen, "__row long"), "__row", "left_anti")
-        found = fits.groupBy("__pattern").agg(F.max(F.struct("size", "__hash", "__row")).alias("best")).collect()
-        if not found:
+    chosen = [spark.createDataFrame([], "__row long")]
+
+    def filled() -> DataFrame:
+        more = reduce(DataFrame.unionByName, chosen).groupBy("__row").agg(F.count(F.lit(1)).alias("__more"))
+        taken = F.col("whole") + F.col("extra") + F.coalesce("__more", F.lit(0))
+        return both.join(small(more), "__row", "left").withColumn("__taken", taken)
+
+    left = both.where("extra = 0")  # rows that take part in the pattern's rest come first, then further copies of any
+    for _ in range(copies):
+        if not any(s > 0 for s in short.values()):
             break
-        for r in found:
-            chosen.append((r.best["__row"],))
-            short[r["__pattern"]] -= r.best["size"]
-    extra = spark.createDataFrame(chosen, "__row long").withColumn("__more", F.lit(1).cast("long"))  # FILLS rows a pattern at most
-    filled = both.join(F.broadcast(extra) if len(chosen) <= BROADCAST_PATTERNS else extra, "__row", "left")
-    taken = F.col("whole") + F.col("extra") + F.coalesce("__more", F.lit(0))
-    return filled.select(*rows.columns, "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
+        found = _more(left.where("size > 0").select("__row", "__pattern", "__slot", "__hash", "doc_id", "size"), short)
+        chosen += [found] if found is not None else []
+        left = filled().where(F.col("__taken") < copies)
+    taken = F.col("__taken")
+    return filled().select(*rows.columns, "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

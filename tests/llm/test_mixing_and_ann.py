@@ -63,6 +63,25 @@ def test_mix_edges(edge, empty):
     assert len(null_source) == 1 and len(edge_rows()) == edge.count()
 
 
+@pytest.mark.parametrize("last", [None, 0, 40])
+def test_mix_fills_what_fits(spark, monkeypatch, last):
+    """One very long row must not shut out the rows behind it: what is lacking is less than the smallest row to be had."""
+    if last is not None:
+        monkeypatch.setattr(mixing, "LAST_ROWS", last)
+    monkeypatch.setattr(mixing, "SLOTS", 4)
+    r = random.Random(3)
+    rows = [(i, r.randint(1, 90), ["a"]) for i in range(600)] + [(9000, 9_000, ["a"]), (9001, 5_000, ["a"])] + [(10_000 + i, 10 * r.randint(1, 9), ["b"]) for i in range(300)] + [(None, 25, ["b"]), (None, 25, ["b"])]
+    df = spark.createDataFrame(rows, "doc_id long, size long, of array<string>").repartition(3)
+    for seed in range(6 if last is None else 2):
+        got = mixing.mix(df, F.col("of"), (1, 1), seed=seed).collect()
+        assert len(got) == len(rows)
+        for of in (["a"], ["b"]):
+            mine = [x for x in got if x.of == of]
+            lacking = round(mine[0].target) - sum(x.taken for x in mine)
+            left = [x["size"] for x in mine if x.copies < 2]
+            assert 0 <= lacking < min(left, default=1) and max(x.copies for x in mine) <= 2
+
+
 def test_overlapping_sources(spark):
     rows = [(i, 10, ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["b", "a", "a"]) for i in range(90)] + [(99, 10, [])]
     df = spark.createDataFrame(rows, "doc_id long, size long, of array<string>")
