@@ -123,21 +123,20 @@ _DIGIT_WORDS = {
 _NUMBER = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=lambda w: (-len(w), w))) + "|[0-9]+)"
 _SPELLED = re.compile(rf"(?i)\b(?:plus[ -]+)?{_NUMBER}(?:(?:[ ,-]{{1,3}}|[ ]+(?:dot|point|punkt|punto)[ ]+|\.){_NUMBER}\b){{3,}}")
 _SPELLED_PART = re.compile(rf"(?i)plus[ -]+|[ ]+(?:dot|point|punkt|punto)[ ]+|{_NUMBER}\b|[ ,-]+|\.")
-_POINTS = frozenset(("dot", "point", "punkt", "punto"))
-_APART = str.maketrans(",-.", "   ")
-# Last labels after which a bare spelled address is believed.
+# Last labels after which a bare spelled address is believed in any case.
 _TLD = frozenset("com org net edu gov io info biz de fr es uk eu us co me ch at it nl br mx ar test example".split())
 # Words that are no host's first label after a bare at.
 _ARTICLES = frozenset("the a an this that my our your his her their its".split())
 _BRACKET_AT = re.compile(r"(?i)[ ]?[(\[{<][ ]?(?:at|@|arroba)[ ]?[)\]}>][ ]?")
 _BRACKET_DOT = re.compile(r"(?i)[ ]?[(\[{<][ ]?(?:dot|punto|punkt|point|\.)[ ]?[)\]}>][ ]?")
-_BARE_AT = re.compile(r"(?i)(?:[ ]+|_|-)(?:at|arroba)(?:[ ]+|_|-)")
+_BARE_AT = re.compile(r"(?i)(?:(?<! )[ ]+|_|-)(?:at|arroba)(?:[ ]+|_|-)")
 _DOT = r"(?:[ ]+dot[ ]+|_dot_|-dot-|[ ]?[(\[{<][ ]?dot[ ]?[)\]}>][ ]?|\.)"
 _SPELLED_HOST = re.compile(rf"(?i)[a-z0-9-]+(?:{_DOT}[a-z0-9]+(?:-[a-z0-9]+)*)+")
 _SPELLED_LOCAL = re.compile(rf"(?i)[a-z0-9%+][a-z0-9._%+-]*(?:[ ]+dot[ ]+[a-z0-9._%+-]+)*$")
 _SPELLED_DOT = re.compile(r"(?i)[ ]+dot[ ]+|_dot_|-dot-|[ ]?[(\[{<][ ]?dot[ ]?[)\]}>][ ]?")
-_BRACKETED = re.compile(r"(?i)[(\[{<][ ]?(?:at|@|arroba|dot|punto|punkt|point|\.)[ ]?[)\]}>]")
-_PLAIN_HOST = re.compile(r"(?i)[a-z0-9]\.[a-z]{2,6}\b")
+_LABELS = re.compile(r"(?i)[a-z0-9-]*")
+# Letters, and a point or digits between or beside them: a local part that is no plain word or number.
+_ADDRESS_LIKE = re.compile(r"(?i)(?=.*[a-z])[a-z0-9%+-]+(?:[._]+|[ ]+dot[ ]+)[a-z0-9%+-]|[a-z][0-9]|[0-9][a-z]")
 #: Characters looked at before a bare at: an address's local part has 64 at most.
 _BEFORE = 96
 
@@ -218,13 +217,20 @@ def digit_edits(text: str) -> list[Edit]:
 
 def address_edits(text: str) -> list[Edit]:
     out: list[Edit] = [(*m.span(), "@") for m in _BRACKET_AT.finditer(text)] + [(*m.span(), ".") for m in _BRACKET_DOT.finditer(text)]
+    barren = 0  # up to here no host starts: a run of letters and hyphens without a dot is read once
     for at in _BARE_AT.finditer(text):
+        if at.end() < barren:
+            continue
         host = _SPELLED_HOST.match(text, at.end())
-        labels = re.split(r"[^a-z0-9-]+", host.group().lower()) if host else [""]
-        if labels[-1] not in _TLD or labels[0] in _ARTICLES:
+        if not host:
+            barren = _LABELS.match(text, at.end()).end()
+            continue
+        spelled = _SPELLED_DOT.search(host.group()) is not None
+        labels = _SPELLED_DOT.sub(".", host.group()).lower().split(".")
+        if labels[0] in _ARTICLES or not (labels[-1] in _TLD or len(labels[-1]) > 1 and labels[-1].isalpha()):
             continue
         local = _SPELLED_LOCAL.search(text[max(0, at.start() - _BEFORE) : at.start()])
-        if not local or not (_SPELLED_DOT.search(host.group()) or "_" in at.group() or re.search(r"[0-9._]|(?i: dot )", local.group())):
+        if not local or not (spelled or _ADDRESS_LIKE.search(local.group()) or labels[-1] in _TLD and ("_" in at.group() or re.search(r"[0-9._]", local.group()))):
             continue
         shift = max(0, at.start() - _BEFORE) + local.start()
         out += [(shift + m.start(), shift + m.end(), ".") for m in re.finditer(r"(?i)[ ]+dot[ ]+", local.group())]
@@ -240,19 +246,10 @@ def address_edits(text: str) -> list[Edit]:
 
 def added(text: str, known: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the rewritten text shows."""
-    glyphs = _REWRITTEN.search(text) is not None
-    lower = text.lower()
-    bare = "dot" in lower or "_at_" in lower or "arroba" in lower or (" at " in lower and _PLAIN_HOST.search(text) is not None)
-    spoken = bare or _BRACKETED.search(text) is not None
-    # Four number words or numbers in a row, spelled points aside.
-    tokens = [w for w in lower.translate(_APART).split() if w not in _POINTS]
-    counted = "1111" in "".join(["1" if w in _DIGIT_WORDS or w.isdecimal() else "0" for w in tokens])
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    if not (glyphs or spoken or counted):
-        return out
-    first = Rewritten(text, glyph_edits(text)) if glyphs else Rewritten(text, [])
-    second = Rewritten(first.text, digit_edits(first.text) if counted or glyphs else [], first)
-    third = Rewritten(second.text, address_edits(second.text) if spoken or glyphs else [], second)
+    first = Rewritten(text, glyph_edits(text))
+    second = Rewritten(first.text, digit_edits(first.text), first)
+    third = Rewritten(second.text, address_edits(second.text), second)
     if not (first.edits or second.edits or third.edits):
         return out
     taken = sorted(s for spans in known.values() for s in spans)

@@ -156,6 +156,26 @@ def test_long_runs_are_linear():
     pii.added(text, pii.base(text))
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "want"),
+    [
+        ("write to john.doe-at-example.com today", "email", "john.doe-at-example.com"),
+        ("jane-at-example-dot-com now", "email", "jane-at-example-dot-com"),
+        ("jane.roe at example dot ca", "email", "jane.roe at example dot ca"),
+        ("ask jane.roe at example.ca now", "email", "jane.roe at example.ca"),
+        ("(one dot two dot three dot four)", "ip", "one dot two dot three dot four"),
+        ("it is one dot two dot three dot four!", "ip", "one dot two dot three dot four"),
+    ],
+)
+def test_disguises_that_nothing_else_announces(text, kind, want):
+    assert {k: [text[a:b] for a, b in v] for k, v in pii.added(text, pii.base(text)).items() if v} == {kind: [want]}
+
+
+@pytest.mark.parametrize("text", ["meet in room 5 at home.then go", "see them at home.then go", "a walk at the dot", "one two three at four"])
+def test_plain_words_are_no_disguise(text):
+    assert not any(pii.added(text, pii.base(text)).values())
+
+
 def test_pii(edge, empty):
     rows = {r.doc_id: r for r in pii.find_pii(edge).collect()}
     assert (rows[15].n_email, rows[15].n_phone, rows[15].n_added) == (1, 1, 0) and rows[15].spans == "email:5:13,phone:17:34"
