@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +24,14 @@ def crc_mod(column: str, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's place below the cluster's shared folder; a temporary folder only where none is set (local runs)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder's place below spark.checkpoint.dir. Where that is unset a local session gets a folder in its warehouse;
+    a cluster is refused, since no machine's own folder is seen by the others."""
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="orestrata-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/orestrata-shared"
     return f"{base}/orestrata-{uuid.uuid4().hex}"
 
 
@@ -47,5 +48,26 @@ def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bits of the bitmap that parted() broadcasts, least and most (half a million rows of 16 bytes).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
+
+
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs whose doc_id is surely not among ids (doc_id long), and all others, which may hold some wrongly: what follows
+    must look at those exactly. Only a bitmap of bounded size is sent, so texts of the first part never travel. With far
+    more ids than bits it parts less and less, and the exact step then moves more."""
+    size = LEAST_BITS
+    n = ids.count()
+    while size < min(8 * n, MOST_BITS):
+        size *= 2
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1))
+    bit = F.expr("shiftleft(1L, cast(__place & 63 AS int))")
+    listed = ids.select(place.alias("__place")).groupBy(F.shiftright("__place", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    own = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit(size - 1))
+    marked = docs.withColumn("__place", own).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(listed), "__word", "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(~hit).select(*docs.columns), marked.where(hit).select(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import parted, words, written
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -120,15 +120,15 @@ def features(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id, ids binary: the shingle sets of the documents named in ids (id), their 64-bit ids in order."""
+    """id, ids binary: the shingle sets of the documents named in ids (id), and of a few others, their 64-bit ids in order."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(words(t), n).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, ids binary")
+    _, named = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.withColumnRenamed("id", "doc_id"))
+    return named.withColumnRenamed("doc_id", "id").mapInArrow(run, "id long, ids binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -271,5 +271,6 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similar: int = SIMILAR) ->
 
 def keep_one(docs: DataFrame, n: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """The documents that stay, one of each component, all their columns; of rows that repeat a doc_id, as many as there are."""
-    gone = near_duplicates(docs, n, similar).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = written(near_duplicates(docs, n, similar).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
+    clean, others = parted(docs, gone.select(F.col("__id").alias("doc_id")))
+    return clean.unionByName(others.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, parted, written
 
 #: Part of a class covariance taken from the pooled one, and part of the result taken from its mean variance.
 TO_POOLED, TO_IDENTITY = 0.3, 0.05
@@ -67,14 +67,15 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and x array<double>."""
+    """doc_id, text_key (a 64-bit hash of the text) and x array<double>."""
 
     def run(batches):
         for b in batches:
             x = pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), x], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), x], names=["doc_id", "text_key", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -144,9 +145,8 @@ def fit(statistics_of: DataFrame, labels: DataFrame, learns: Column) -> Discrimi
     return from_sums(list(v[:2]), list(v[2 : 2 + 2 * d].reshape(2, d)), list(v[2 + 2 * d :].reshape(2, d, d)))
 
 
-def score(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Rows whose crc32(doc_id) mod `mod` is 0 are held out; with mod
-    None every label teaches. The model is fitted here, eagerly."""
+def _scored(docs: DataFrame, labels: DataFrame, mod: int | None) -> DataFrame:
+    """doc_id, text_key, held_out, score, predicted of each row; the model is fitted here, eagerly."""
     held = (crc_mod("doc_id", mod) == 0) if mod else F.lit(False)
     x = written(with_statistics(docs))  # the one pass over the texts
     model = fit(x, labels, ~F.coalesce(held, F.lit(False)))
@@ -156,21 +156,23 @@ def score(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
         for b in batches:
             rows = np.array(b.column("x").to_pylist(), dtype=float).reshape(-1, d)
             s = model.score(rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            own = [b.column(c) for c in ("doc_id", "text_key", "held_out")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "text_key", "held_out", "score", "predicted"])
 
     held_out = F.coalesce(held, F.lit(False)).alias("held_out")
-    return x.select("doc_id", held_out, "x").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return x.select("doc_id", "text_key", held_out, "x").mapInArrow(run, "doc_id long, text_key long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
-    """The documents predicted as 1, all their columns; the model is the one of score()."""
-    clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit(with_statistics(clean.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")), labels, (crc_mod("doc_id", mod) != 0) if mod else F.lit(True))
+def score(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted. Rows whose crc32(doc_id) mod `mod` is 0 are held out; with mod
+    None every label teaches."""
+    return _scored(docs, labels, mod).drop("text_key")
 
-    def run(batches):
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            s = model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES)))
-            yield b.filter(pa.array(s >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_good(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
+    """The documents that score() predicts as 1, all their columns. Texts are read twice and not shuffled, but for those
+    whose doc_id may be a rejected one: these are matched by doc_id and the hash of their text."""
+    rejected = written(_scored(docs, labels, mod).where("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    clean, others = parted(docs, rejected.select(F.col("__id").alias("doc_id")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return clean.unionByName(others.join(rejected, same, "left_anti"))

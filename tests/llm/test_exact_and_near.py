@@ -40,13 +40,32 @@ def test_exact_index_over_batches(spark, edge, empty):
     assert new[9] == (9, True, True)
     assert not again.where("doc_id < 8 AND is_new").count()
     assert index.table().count() == index.table().select("digest").distinct().count()
-    # A replay of a batch adds nothing that compaction does not fold.
-    exact_dedup.dedup(edge, index, "b")
-    index.compact()
-    assert index.table().count() == index.table().select("digest").distinct().count()
+    # A batch run again adds nothing and gives the same rows, before and after compaction.
+    for compacted in (False, True):
+        size = index.table().count()
+        assert size == index.table().select("digest").distinct().count()
+        assert sorted(map(str, exact_dedup.dedup(edge, index, "b").collect())) == sorted(map(str, again.collect()))
+        assert index.table().count() == size
+        if not compacted:
+            index.compact()
     assert exact_dedup.dedup(empty, index, "c").count() == 0
 
 
+def test_exact_retry_gives_each_row_once(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, shared_dir(spark), 4)
+    runs = [sorted(map(tuple, exact_dedup.dedup(rows, index, "b1").collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 3 and index.table().count() == 2
+    later = exact_dedup.dedup(spark.createDataFrame([(9, "a  b"), (10, "d")], "doc_id long, text string"), index, "b2")
+    assert {r.doc_id: (r.keep_id, r.is_new, r.kept) for r in later.collect()} == {9: (1, False, False), 10: (10, True, True)}
+
+
+def test_exact_leaves_no_table_behind(spark, edge):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.dedup(edge).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_exact_index_is_bucketed_and_merge_joined(spark, edge):
     index = exact_dedup.DigestIndex(spark, shared_dir(spark), 8)
     exact_dedup.dedup(edge, index, "a")
