@@ -3,9 +3,9 @@
 Two permutations of the 32-bit ids give all coordinates: the first is applied once to a shingle's id, the second is
 shifted circularly by k for coordinate k. Documents with equal sets are one class; only a representative goes on.
 Representatives that share a band meet the best connected member of that band's bucket (a star, not all pairs); links
-are confirmed on full shingle sets. Members that a star leaves in another component meet further leaders. What is still
-split then is compared through prefixes of the sets, rarest shingles first, which lose no similar pair: so no candidate
-is left out, and families of texts that are alike without being similar do not meet pair by pair.
+are confirmed on full shingle sets. Members that a star leaves in another component meet further leaders while that finds
+links. What is still split then is compared through prefixes of the sets, rarest shingles first, which lose no similar
+pair: so no candidate is left out. Their buckets are gone through block by block under a bound of what two sets can share.
 
 With 32 bands of 4 rows a pair at the threshold of 0.75 shares no bucket with probability 5e-6.
 
@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parted, words, written
@@ -29,8 +29,10 @@ from .components import components
 WORDS, BANDS, ROWS = 5, 32, 4
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-#: Star rounds over the bands' buckets, and again over prefixes.
-STARS = 2
+#: Star rounds over the bands' buckets at most, and the part (one in so many) of their pairs that must be links for another.
+STARS, PAYS = 4, 10
+#: Rows of a bucket that one task holds twice.
+BLOCK = 4096
 #: Shingles put in the order of their frequency, at most.
 FREQUENT = 1_000_000
 
@@ -147,8 +149,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
                 keep.append(100 * common >= similar * (len(x) + len(held) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("ids").alias("ids_a")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("ids").alias("ids_b")), "b")
+    def named(side: str) -> DataFrame:
+        """The sets of one side; the others stay where they are."""
+        _, own = parted(sets.withColumnRenamed("id", "doc_id"), pairs.select(F.col(side).alias("doc_id")).distinct())
+        return own.select(F.col("doc_id").alias(side), F.col("ids").alias(f"ids_{side}"))
+
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
     return both.select("a", "b", "ids_a", "ids_b").mapInArrow(run, "a long, b long")
 
 
@@ -167,35 +173,98 @@ class _Links:
     def split(self, rows: DataFrame) -> DataFrame:
         """The rows whose bucket holds unlike components."""
         open_ = rows.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("bucket")
-        return rows.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "pos", "support", "root")
-
-    def meet(self, met: DataFrame) -> None:
-        """met: id, n, pos, root against b, m, at, its. Confirms the similar pairs of unlike components.
-
-        If the first shingle that two sets share stands at pos and at, they share no more than what follows there. Pairs
-        for which that is too little are left to the bucket of their first common shingle. (In a band's bucket both are
-        0: then this compares the sizes.)"""
-        enough = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) * (100 + self.similar) >= (F.col("n") + F.col("m")) * self.similar
-        pairs = met.where((F.col("root") != F.col("its")) & enough).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        fresh = written(confirmed(written(pairs), self.sets, self.similar))
-        if fresh.limit(1).count():
+        return rows.join(open_, "bucket", "left_semi")
+
+    def meet(self, met: DataFrame) -> bool:
+        """met: id, b, root, its and sizes n, m. Confirms the similar pairs of unlike components; whether it was worth while."""
+        pairs = met.where((F.col("root") != F.col("its")) & _enough(self.similar)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        return self.confirm(written(pairs))
+
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Adds the similar ones of the pairs (a, b); true if many of them were."""
+        fresh = written(confirmed(pairs, self.sets, self.similar))
+        links = fresh.count()
+        if links:
             self.found = self.found.unionByName(fresh)
             self.roots = written(components(self.found))
+        return links * PAYS >= pairs.count()
 
     def stars(self, pool: DataFrame) -> DataFrame:
-        """Up to STARS rounds in which each bucket's best connected member meets all others; returns what stays split."""
+        """Rounds in which each bucket's best connected member meets all others, at most STARS and as long as many pairs turn
+        out to be links; returns what stays split."""
         for _ in range(STARS):
-            best = F.max(F.struct("support", (-F.col("id")).alias("x"), "n", "pos", "root")).alias("best")
-            leaders = written(pool.groupBy("bucket").agg(best).select("bucket", (-F.col("best.x")).alias("b"), F.col("best.n").alias("m"), F.col("best.pos").alias("at"), F.col("best.root").alias("its")))
-            self.meet(pool.join(leaders, "bucket"))
+            best = F.max(F.struct("support", (-F.col("id")).alias("x"), "n", "root")).alias("best")
+            leaders = written(pool.groupBy("bucket").agg(best).select("bucket", (-F.col("best.x")).alias("b"), F.col("best.n").alias("m"), F.col("best.root").alias("its")))
+            pays = self.meet(pool.join(leaders, "bucket"))
             # A leader has met its whole bucket; the others go on where the bucket still holds unlike components.
             rest = pool.join(leaders.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
             pool = written(self.split(self.rooted(rest)))
-            if not pool.limit(1).count():
+            if not pays:
                 break
         return pool
 
 
+def _enough(similar: int) -> Column:
+    """Whether sets of n and m entries can be similar."""
+    return F.least("n", "m") * 100 >= F.greatest("n", "m") * similar
+
+
+def _within(rows: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
+    """a, b: the pairs of rows (bucket, id, n, pos, root) of one bucket and of unlike roots that can be similar.
+
+    If the first entry that two sets share stands at pos and at, they share no more than what follows there; pairs for which
+    that is too little are left to the bucket of their first common entry. Rows of a bucket are dealt into blocks, and each
+    two blocks meet in a task of their own, which holds both and returns what passes the bound: no bucket has to fit into one
+    task, and pairs are not rows until they have passed."""
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "id", "n", "pos", "root")
+    key = ["bucket", "i", "j"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, j, second, ids, size, pos, root = group
+        one = np.flatnonzero(~second)
+        two = np.flatnonzero(second) if i[0] != j[0] else one
+        out = []
+        for at in range(0, len(one), 256):
+            x, y = one[at : at + 256, None], two[None]
+            far = np.minimum(size[x] - pos[x], size[y] - pos[y]) * (100 + similar) >= (size[x] + size[y]) * similar
+            far &= root[x] != root[y]
+            if i[0] == j[0]:
+                far &= ids[x] < ids[y]
+            p, q = np.nonzero(far)
+            out.append((ids[one[at + p]], ids[two[q]]))
+        a, b = (np.concatenate(o) for o in zip(*out, strict=True)) if out else (ids[:0], ids[:0])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def result(groups):
+            found = [pairs(g) for g in groups]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "second", "id", "n", "pos", "root")]
+            if held:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            starts = np.concatenate([[0], edge])
+            for at in range(0, len(edge), 4096):  # whole groups; the last may go on in the next batch
+                spans = zip(starts[at : at + 4096], edge[at : at + 4096], strict=False)
+                yield result([[c[x:y] for c in cols[1:]] for x, y in spans])
+            held = [c[starts[-1] :] for c in cols]
+        if held:
+            yield result([held[1:]])
+
+    met = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return met.distinct()
+
+
 def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
     """bucket, id, pos: for each set the ids of its prefix in an order that puts frequent ids last. Two sets that are similar
     enough share one of those. The ids that hold over 1 / FREQUENT of all entries (so at most FREQUENT) are ordered by
@@ -236,19 +305,15 @@ def links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
     """members: bucket, id, n, cnt (rows of the bucket). Returns confirmed pairs (a, b) that join every two similar ids
     sharing a bucket into one component."""
     support = members.groupBy("id").agg(F.sum("cnt").alias("support"))
-    pool = written(members.join(support, "id").select("bucket", "id", "n", F.lit(0).cast("long").alias("pos"), "support", F.col("id").alias("root")))
+    pool = written(members.join(support, "id").select("bucket", "id", "n", "support", F.col("id").alias("root")))
     state = _Links(written(sets_of(pool.select("id").distinct())), similar)
     pool = state.stars(pool)
     if pool.limit(1).count():
         # Documents left in split buckets are mostly alike but not similar. Of these, only such pairs can be similar as
         # share an id of their prefixes: those are their new buckets.
-        left = pool.groupBy("id").agg(F.first("n").alias("n"), F.first("support").alias("support"), F.first("root").alias("root"))
+        left = pool.groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"))
         prefixes = _prefixes(written(state.sets.join(left.select("id"), "id", "left_semi")), similar)
-        pool = written(state.split(prefixes.join(left, "id")))
-        if pool.limit(1).count():
-            pool = state.stars(pool)
-            other = pool.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("its"))
-            state.meet(pool.join(other, "bucket").where(F.col("id") < F.col("b")))
+        state.confirm(written(_within(written(state.split(prefixes.join(left, "id"))), similar)))
     return state.found
 
 
