@@ -5,8 +5,9 @@ frequencies of its pieces over the training words. A word's probability is the s
 by a forward recursion in log space; a text's is the product over its words and one end. Next to it stands a smoothed
 word unigram (the base score) from the same training counts.
 
-Word counts grow with the corpus and are only ever joined. Broadcast are the vocabulary's scores (its size is fixed)
-and the words that make up over 1 / FREQUENT of all training tokens (so at most FREQUENT words).
+Each distinct word of the corpus is scored once, in the table of counts, which grows with the corpus and is only ever
+joined. Sent to the workers are the vocabulary's scores (its size is fixed) and the words that make up over 1 / FREQUENT
+of all tokens (so at most FREQUENT words, some 20 MB).
 
 Defined results: null or empty text is one end token; a null doc_id trains; repeated rows each count; an empty table
 gives an empty result; without training rows every count is 0 and the pieces share their smoothing; extra columns are
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, words, written
 
-FREQUENT = 20_000
+FREQUENT = 500_000
 #: Added to each piece's count.
 SMOOTHING = 0.5
-#: Words whose probability a worker keeps.
-_KEEP = 150_000
-#: Texts scored at once, and the longest word (bytes) that is scored side by side with others.
+#: Texts counted at once, and the longest word (bytes) that is scored side by side with others.
 _TEXTS, _SIDE = 256, 64
+#: Places of words scored at once, times their lengths.
+_CELLS = 400_000
 _SPACE = "▁".encode()
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,29 +60,22 @@ def _pieces(path: str):
 class Lattice:
     """Log probabilities of pieces and of the end.
 
-    Words of one length run through the forward recursion side by side: a piece is found by a hash of its bytes in
-    tables without collisions. Longer words go one by one, over the pieces' prefixes."""
+    Words of one length run through the forward recursion side by side: a piece is found by a hash of its bytes. Longer
+    words go one by one, over the pieces' prefixes."""
 
     def __init__(self, scores: dict[bytes, float], end: float):
         self.scores, self.end = scores, end
-        self.known: dict[bytes, float] = {}
         self.longest = max(map(len, scores), default=0)
         size = _SIDE + len(_SPACE) + 1
         self.power = np.multiply.accumulate(np.array([1] + [_ODD] * size, np.uint64))
         self.inverse = np.multiply.accumulate(np.array([1] + [pow(_ODD, -1, 1 << 64)] * size, np.uint64))
         short = [p for p in scores if len(p) <= size]
         keys = np.array([int(self._sums(np.frombuffer(p, np.uint8)[None])[0, -1]) for p in short], np.uint64)
-        values = np.array([scores[p] for p in short])
-        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
-        shift = 44
-        while len(keys):
-            slot = (keys >> np.uint64(shift)).astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            key, value = np.zeros(1 << (64 - shift), np.uint64), np.full(1 << (64 - shift), -np.inf)
-            key[slot[first]], value[slot[first]] = keys[first], values[first]
-            self.tables.append((shift, key, value))
-            rest = np.setdiff1d(np.arange(len(keys)), first)
-            keys, values = keys[rest] * np.uint64(_ODD), values[rest]
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.array([scores[p] for p in short])[order]
+        # A first look by the upper bits of the hash, in a table that stays in the processor's cache.
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[keys >> np.uint64(44)] = True
         self.steps: dict[bytes, float | None] = {}
 
     def _sums(self, words: np.ndarray) -> np.ndarray:
@@ -89,42 +83,42 @@ class Lattice:
         np.cumsum(_BYTE[words] * self.power[: words.shape[1]], axis=1, out=out[:, 1:])
         return out
 
-    def _score(self, key: np.ndarray) -> np.ndarray:
-        found = np.full(len(key), -np.inf)
-        for shift, keys, values in self.tables:
-            slot = (key >> np.uint64(shift)).astype(np.int64)
-            hit = np.flatnonzero(keys[slot] == key)
-            found[hit] = values[slot[hit]]
-            key = key * np.uint64(_ODD)
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes known the natural logs of the summed probabilities of all segmentations of the words, each after its
-        space mark."""
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        by_size: dict[int, list[bytes]] = {}
-        for w in words - self.known.keys():
-            by_size.setdefault(len(w), []).append(w)
-        for size, group in by_size.items():
-            if size > _SIDE:
-                self.known.update((w, self.forward(_SPACE + w)) for w in group)
-            else:
-                self.known.update(zip(group, self._side_by_side(group, size).tolist(), strict=True))
+    def logs(self, words: list[bytes]) -> np.ndarray:
+        """The natural logs of the summed probabilities of all segmentations of each word after its space mark."""
+        out = np.empty(len(words))
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(i)
+        for size, at in by_size.items():
+            group = [words[i] for i in at]
+            out[at] = [self.forward(_SPACE + w) for w in group] if size > _SIDE else self._side_by_side(group, size)
+        return out
 
     def _side_by_side(self, group: list[bytes], size: int) -> np.ndarray:
         n = size + len(_SPACE)
-        text = np.frombuffer(b"".join([_SPACE + w for w in group]), np.uint8).reshape(len(group), n)
-        sums = self._sums(text).T.copy()
-        alpha = np.full((n + 1, len(group)), -np.inf)
-        alpha[0] = 0.0
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                score = self._score((sums[j] - sums[i]) * self.inverse[i])
-                at = np.flatnonzero(score > -np.inf)
-                if len(at):
-                    alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + score[at])
-        return alpha[n]
+        out = np.empty(len(group))
+        step = max(1, _CELLS // (n * n))
+        for first in range(0, len(group), step):
+            part = group[first : first + step]
+            text = np.frombuffer(b"".join([_SPACE + w for w in part]), np.uint8).reshape(len(part), n)
+            sums = self._sums(text).T.copy()
+            score = np.full((n + 1, n, len(part)), -np.inf)  # by end, start and word
+            for k in range(1, min(n, self.longest) + 1):
+                key = (sums[k:] - sums[:-k]) * self.inverse[: n - k + 1, None]
+                start, word = np.nonzero(self.likely[key >> np.uint64(44)])
+                key = key[start, word]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[at] == key)
+                score[start[hit] + k, start[hit], word[hit]] = self.values[at[hit]]
+            alpha = np.zeros((n + 1, len(part)))
+            for j in range(1, n + 1):
+                ways = alpha[:j] + score[j, :j]
+                most = ways.max(axis=0)
+                most[most == -np.inf] = 0.0
+                with np.errstate(divide="ignore"):
+                    alpha[j] = most + np.log(np.exp(ways - most).sum(axis=0))
+            out[first : first + step] = alpha[n]
+        return out
 
     def forward(self, text: bytes) -> float:
         """The same for one text of any length."""
@@ -159,16 +153,19 @@ def piece_scores(counts: dict[int, int], ends: int, pieces: list[bytes | None])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word binary, c long over all texts of docs."""
+    """word binary; c and h long: how often it occurs in the rows that train, and in those with held_out."""
 
     def run(batches):
         for b in batches:
-            count: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                count.update(words(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
+            counts = [Counter(), Counter()]
+            for held, text in zip(b.column("held_out").to_pylist(), b.column("text").to_pylist(), strict=True):
+                counts[held].update(words(text))
+            for k, own in enumerate(counts):
+                n, none = pa.array(list(own.values()), pa.int64()), pa.array(np.zeros(len(own), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), *((none, n) if k else (n, none))], names=["word", "c", "h"])
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    rows = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, h long")
+    return rows.groupBy("word").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
 
 
 def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
@@ -190,54 +187,59 @@ def piece_counts(counts: DataFrame, path: str) -> dict[int, int]:
 def score(docs: DataFrame, path: str, mod: int = 7, held: int = 2) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", mod) == held, F.lit(False)).alias("held_out"), "text")
-    training = rows.where("NOT held_out")
-    counts = written(word_counts(training))
-    ends = training.select("doc_id").count()
-    vocabulary, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    counts = written(word_counts(rows))
+    ends = rows.where("NOT held_out").select("doc_id").count()
+    vocabulary, tokens, all_tokens = counts.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") + F.col("h")), F.lit(0))).first()
     n, v = tokens + ends, vocabulary + (ends > 0)
-    least = max(1, n // FREQUENT)
-    frequent = {bytes(r.word): r.c for r in counts.where(F.col("c") > least).collect()}  # under FREQUENT words
-    lattice_of = piece_counts(counts, path)
+    lattice_of = piece_counts(counts.where("c > 0"), path)
+    log_end = piece_scores(lattice_of, ends, _pieces(path)[1]).end
 
-    def run(batches):
+    def scored(batches):
         lattice = piece_scores(lattice_of, ends, _pieces(path)[1])
-        ln10, log10 = math.log(10), math.log10
-        common = {w: log10(c + 1) for w, c in frequent.items()}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lattice.logs(b.column("word").to_pylist()))], names=["word", "c", "h", "log"])
+
+    table = written(counts.mapInArrow(scored, "word binary, c long, h long, log double"))
+    is_frequent = F.col("c") + F.col("h") > max(1, all_tokens // FREQUENT)
+    frequent = {bytes(r.word): (r.c, r.log) for r in table.where(is_frequent).select("word", "c", "log").collect()}  # under FREQUENT words
+
+    def run(batches):
+        common = {w: (k > 0, math.log10(k + 1), log) for w, (k, log) in frequent.items()}
         for whole in batches:
             for first in range(0, whole.num_rows, _TEXTS):
                 b = whole.slice(first, _TEXTS)
-                counts_of = [Counter(words(text)) for text in b.column("text").to_pylist()]
-                lattice.learn(set().union(*counts_of))
-                marginal = lattice.known
                 size, known, base, total, ends_at, rare, times = [], [], [], [], [0], [], []
-                for count in counts_of:
-                    all_of, seen, part, log = 1, int(ends > 0), log10(ends + 1), lattice.end
-                    for w, k in count.items():
-                        all_of += k
-                        log += k * marginal[w]
-                        c = common.get(w)
-                        if c is None:
+                for text in b.column("text").to_pylist():
+                    tokens_of = words(text)
+                    seen, part, logs = int(ends > 0), math.log10(ends + 1), log_end
+                    for w, k in Counter(tokens_of).items():
+                        of = common.get(w)
+                        if of is None:
                             rare.append(w)
                             times.append(k)
                         else:
-                            seen += k
-                            part += k * c
-                    for column, value in ((size, all_of), (known, seen), (base, part), (total, log / ln10), (ends_at, len(rare))):
+                            if of[0]:
+                                seen += k
+                            part += k * of[1]
+                            logs += k * of[2]
+                    for column, value in ((size, len(tokens_of) + 1), (known, seen), (base, part), (total, logs), (ends_at, len(rare))):
                         column.append(value)
                 pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
                 lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pairs)
                 columns = [b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: binary, k: long>>"
-    scored = written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    # Words of the long tail, none of them hot, meet their counts in a join.
-    tail = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    found = tail.join(counts.where(F.col("c") <= least), "word")
-    sums = found.groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("gain"))
-    out = scored.drop("rare").join(sums, "row", "left")
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "logs", "rare"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, logs double, rare array<struct<word: binary, k: long>>"
+    partly = written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    # Words of the long tail, none of them hot, meet their counts and logs in a join.
+    tail = partly.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
+    found = tail.join(table.where(~is_frequent).select("word", "c", "log"), "word")
+    times = F.when(F.col("c") > 0, F.col("k")).otherwise(0)
+    sums = found.groupBy("row").agg(F.sum(times).alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("gain"), F.sum(F.col("k") * F.col("log")).alias("more_logs"))
+    out = partly.drop("rare").join(sums, "row", "left")
     unseen = math.log10(n + 1 * (v + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(unseen)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(unseen)).alias("base_score"),
+        ((F.col("logs") + F.coalesce("more_logs", F.lit(0.0))) / math.log(10)).alias("score"),
     )
