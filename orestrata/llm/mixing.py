@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, written
+from .common import WORD, parted, small, written
 
 #: Parts of the hash range in which a pattern's words are summed before the quota's place is known.
 SLOTS = 1024
@@ -195,11 +195,12 @@ def _more(rows: DataFrame, short: dict[str, int]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 0) -> DataFrame:
+def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, copies: int = 2, seed: int = 0, plan: bool = False) -> DataFrame:
     """rows (doc_id, size and what sources reads) with source_size, target and taken.
 
     sources: an array of the names a row belongs to (nulls are a name). Names in code point order, null last, get the
     weights in turn. With several names, source_size and target are sums over them. Rows with an empty array take nothing.
+    plan: also __whole and __bound: but for single rows, copies is __whole, and one more in the slots below __bound.
     """
     spark = rows.sparkSession
     hashed = F.xxhash64(F.lit(seed), "doc_id", "size").alias("__hash")
@@ -217,14 +218,14 @@ def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     total = sum(w for w, of in capacity.values() if of)
     goal = dict(zip(order, targets([size[s] for s in order], [weights[i % len(weights)] for i in range(len(order))], share * total / max(1, sum(size.values())), copies), strict=True))
     given = route(capacity, {s: round(goal[s]) for s in order}, copies)
-    plan = [
+    of_pattern = [
         (p, sum(size[s] for s in of), float(sum(goal[s] for s in of)), *(divmod(given[p], words) if words else (0, 0)))
         for p, (words, of) in capacity.items()
     ]
-    plan_df = spark.createDataFrame(plan, "__pattern string, source_size long, target double, whole long, rest long")
-    if len(plan) <= BROADCAST_PATTERNS:
+    plan_df = spark.createDataFrame(of_pattern, "__pattern string, source_size long, target double, whole long, rest long")
+    if len(of_pattern) <= BROADCAST_PATTERNS:
         plan_df = F.broadcast(plan_df)
-    dealt = _dealt(base.withColumn("__slot", slot), slots, plan_df, len(plan) <= BROADCAST_PATTERNS)
+    dealt = _dealt(base.withColumn("__slot", slot), slots, plan_df, len(of_pattern) <= BROADCAST_PATTERNS)
     both = written(dealt.withColumn("__row", F.monotonically_increasing_id()))
     # Behind the first row that does not fit others may.
     short = {r["__pattern"]: r.short for r in both.groupBy("__pattern").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("short")).collect()}
@@ -243,13 +244,17 @@ def mix(rows: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
         chosen += [found] if found is not None else []
         left = filled().where(F.col("__taken") < copies)
     taken = F.col("__taken")
-    return filled().select(*rows.columns, "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
+    bound = F.coalesce("__edge", F.lit(SLOTS) * (F.col("rest") > 0).cast("int")).alias("__bound")
+    return filled().select(*rows.columns, "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"), *([F.col("whole").alias("__whole"), bound] if plan else []))
+
+
+def _words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size: the number of words."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _words().alias("size"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -258,7 +263,26 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, all its columns."""
-    ids = mix_documents(docs, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    out = docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    """The mix itself: each document as many times as it is taken, all its columns; rows equal in doc_id, source and size
+    as often as the one of them that is taken most.
+
+    What a source's plan says of a row is worked out where its text lies; only documents with rows that the plan's last
+    steps took one by one are joined."""
+    mixed = written(mix(sized(docs), F.array("source"), seed=seed, plan=True))
+    plan = written(mixed.groupBy(F.col("source").alias("__source")).agg(F.first("__whole").alias("__whole"), F.first("__bound").alias("__bound")))
+
+    def planned(size: str) -> Column:
+        slot = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), size), F.lit(SLOTS))
+        return F.col("__whole") + (slot < F.col("__bound")).cast("long")
+
+    single = mixed.where(F.col("copies") != planned("size"))
+    single = written(single.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__words")).agg(F.max("copies").alias("__single")))
+    clean, others = parted(docs, single.select(F.col("__id").alias("doc_id")).distinct())
+
+    def with_plan(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__size", _words()).join(small(plan, BROADCAST_PATTERNS), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", planned("__size"))
+
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__words"))
+    joined = with_plan(others).join(small(single), same, "left").withColumn("__copies", F.coalesce("__single", "__copies"))
+    out = with_plan(clean).select(*docs.columns, "__copies").unionByName(joined.select(*docs.columns, "__copies")).where("__copies > 0")
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

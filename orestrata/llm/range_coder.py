@@ -1,15 +1,17 @@
 """An adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-Model of a block, all in integers, learnt from nothing as the block goes on:
-- order 2 and order 1: the id last seen to be right after the two previous ids, and after the previous one, each with a
-  confidence of 0 to 7;
-- the mix: for each pair of confidences, adaptive weights of "order 2 is right", "order 1 is right" and "neither";
-- order 0, for "neither": the id as three digits in a base, each with adaptive counts under what stands before it (the
-  last digit's context is one of NEAR groups of the lowest ids, or all others together).
-The choice and the digits drive a carry-less 64-bit range coder that is brought back to range once an id. Since blocks
-share nothing, numpy codes many side by side, one id of every block a step.
-
-A chunk is: magic, base, ids a block, number of blocks; per block its count of ids, bytes and crc32 of its ids; payloads.
+Each id is coded in one step under a mixture of three predictions:
+- order 0: the frequencies of the chunk's ids, kept in its header;
+- order 1 and order 2: the id seen to follow the last id, and the last two, each with a confidence of 0 to 7, both
+  learnt from nothing as a block goes on.
+The weights of the mixture are learnt too: for each pair of confidences, how often each of the two was right. An id's
+probability is the sum of its shares in all three, so it has one interval, and no code is left over.
+
+All of it is integers. A carry-less 64-bit range coder takes the intervals and gives 16 bits at a time. Blocks share
+nothing but the header, so numpy codes many side by side, one id of every block a step.
+
+A chunk is: magic, ids a block, number of blocks, distinct ids, bytes and crc32 of the compressed table; the table;
+per block its count of ids, 16-bit words and crc32 of its ids; payloads.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"OTI1"
-BLOCK, LANES, LEAST_LANES = 2048, 2048, 256
-NEAR = 64
-_GROWTH = 24  # of a count at each use; a block's total stays below 2**16
-_SLOTS = 10  # bits of a context's slot
+MAGIC = b"OTI2"
+BLOCK, LANES, LEAST_LANES = 2048, 4096, 256
+_SLOTS = 8  # bits of a context's slot
+_CONFIDENCE = 24  # bits below an entry's confidence: symbols stay below 2**24
+_RATE = 4  # a weight moves by 1/16 of its error, at every other id
 _U = np.uint64
-#: A span is kept at 2**48 at least, so that four symbols of totals below 2**16, 2**16 and three digits fit in between.
-_TOP, _BOT, _LOW = _U(1 << 56), _U(1 << 48), _U((1 << 48) - 1)
-_EIGHT, _HIGH = _U(8), _U(56)
+#: A span is kept at 2**40 at least; settled are 16 bits that no further id can change.
+_BOT, _LOW = _U(1 << 40), _U((1 << 40) - 1)
+_UNIT, _TOP = _U(16), _U(48)
+#: The next confidence, by confidence and whether the prediction was right.
+_NEXT = np.array([[max(c >> 1, 1), min(c + 1, 7)] for c in range(8)], np.int32).reshape(-1) << _CONFIDENCE
 
 
 class Corrupt(ValueError):
@@ -39,69 +43,49 @@ def block_length(n: int) -> int:
     return int(min(BLOCK, max(128, -(-n // LEAST_LANES))))
 
 
-def base_for(vocabulary: int) -> int:
-    base = 2
-    while base**3 < vocabulary:
-        base += 1
-    return base
-
-
-class _Table:
-    """Cumulative counts of symbols, a row a context."""
-
-    def __init__(self, rows: int, symbols: int, growth: int):
-        self.width = symbols + 1
-        self.rows = np.tile(np.arange(symbols + 1, dtype=np.uint16), (rows, 1))
-        self.flat = self.rows.reshape(-1)
-        self.step = (np.arange(symbols + 1)[None] > np.arange(symbols)[:, None]).astype(np.uint16) * np.uint16(growth)
-
-    def learn(self, at: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> None:
-        row += self.step.take(symbol, axis=0)
-        self.rows[at] = row
-
-    def encode(self, at: np.ndarray, symbol: np.ndarray, low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = at * self.width
-        total = self.flat.take(place + (self.width - 1))
-        place += symbol
-        under = self.flat.take(place)
-        count = self.flat.take(place + 1) - under
-        part = span // total
-        self.learn(at, self.rows.take(at, axis=0), symbol)
-        return low + part * under, part * count
-
-    def decode(self, at: np.ndarray, low: np.ndarray, span: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row = self.rows.take(at, axis=0)
-        part = span // row[:, -1]
-        value = ((code - low) // np.maximum(part, _U(1))).astype(np.uint32)
-        symbol = np.minimum((row[:, 1:] <= value[:, None]).view(np.int8).sum(axis=1, dtype=np.int16), self.width - 2).astype(np.int64)
-        place = np.arange(len(at)) * self.width + symbol
-        flat = row.reshape(-1)
-        under = flat.take(place)
-        count = flat.take(place + 1) - under
-        low, span = low + part * under, part * count
-        self.learn(at, row, symbol)
-        return symbol, low, span
+class _Zero:
+    """Order 0: cumulative frequencies of the chunk's symbols, which sum to 2**bits, each at least 1."""
+
+    def __init__(self, counts: np.ndarray):
+        self.bits = max(15, int(len(counts)).bit_length() + 1)
+        total, n = 1 << self.bits, len(counts)
+        scaled = np.maximum(1, counts.astype(float) * (total - n) / counts.sum()).astype(np.int64)
+        order = np.argsort(-scaled, kind="stable")
+        excess = int(scaled.sum()) - total
+        if excess > 0:  # taken from the most frequent, which keep half at least
+            for i in order:
+                cut = min(excess, int(scaled[i]) // 2)
+                scaled[i] -= cut
+                excess -= cut
+                if not excess:
+                    break
+        else:
+            scaled[order[0]] -= excess
+        self.under = np.concatenate([[0], np.cumsum(scaled)])
+        self.of_place = np.repeat(np.arange(n), scaled)
 
 
 class _Model:
     """The state of n blocks side by side."""
 
-    def __init__(self, n: int, base: int):
-        self.base, self.lane = base, np.arange(n)
-        self.choice = _Table(n * 64, 3, 12)
-        self.first, self.second, self.third = _Table(n, base, _GROWTH), _Table(n * base, base, _GROWTH), _Table(n * NEAR, base, _GROWTH)
-        self.guess = [np.zeros(n << _SLOTS, np.int32) for _ in range(2)]
-        self.trust = [np.zeros(n << _SLOTS, np.int8) for _ in range(2)]
-        self.shift = self.lane << _SLOTS
-        self.six = self.lane << 6
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
+    def __init__(self, n: int, zero: _Zero):
+        self.zero, self.bits, self.whole = zero, zero.bits, zero.bits + 4
+        one = 1 << self.whole
+        # At first an unsure prediction gets little, a sure one more; the caps leave order 0 a tenth at least.
+        sure = np.array([0.01, 0.12, 0.35, 0.5, 0.55, 0.6, 0.6, 0.6])
+        self.weight = [np.tile((one * w).reshape(-1).astype(np.int32), n) for w in (np.repeat(sure[:, None], 8, 1), np.repeat(sure[None] * 0.4, 8, 0))]
+        self.cap = (int(0.6 * one), int(0.3 * one))
+        self.one = one
+        self.entry = [np.zeros(n << _SLOTS, np.int32) for _ in range(2)]
+        lane = np.arange(n)
+        self.shift, self.pair = lane << _SLOTS, lane << 6
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def narrow(self, n: int) -> None:
-        self.lane, self.shift, self.six, self.last, self.before = (x[:n] for x in (self.lane, self.shift, self.six, self.last, self.before))
+        self.shift, self.pair, self.last, self.before = (x[:n] for x in (self.shift, self.pair, self.last, self.before))
 
     def look(self) -> None:
-        """Slots, guesses and the row of the mix for the next id of every lane."""
+        """What both orders predict next in every lane (said), their weights, and what order 0 is left (rest)."""
         one = self.last * 40503
         two = self.before * 60493
         two += one
@@ -110,170 +94,210 @@ class _Model:
             x &= (1 << _SLOTS) - 1
             x += self.shift
         self.at = (two, one)
-        self.said = [g.take(a) for g, a in zip(self.guess, self.at, strict=True)]
-        self.sure = [t.take(a) for t, a in zip(self.trust, self.at, strict=True)]
-        self.mix = self.six + ((self.sure[0] << 3) + self.sure[1])
-
-    def learn(self, ids: np.ndarray, right: tuple[np.ndarray, np.ndarray]) -> None:
-        for guess, trust, at, said, sure, hit in zip(self.guess, self.trust, self.at, self.said, self.sure, right, strict=True):
-            guess[at] = np.where(hit | (sure > 1), said, ids)
-            trust[at] = _NEXT.take((sure << 1) + hit)
-        self.before, self.last = self.last, ids.astype(np.int64)
-
-
-#: The next confidence, by confidence and whether the guess was right.
-_NEXT = np.array([[max(c >> 1, 1), min(c + 1, 7)] for c in range(8)], np.int8).reshape(-1)
-
-
-def _settle(low: np.ndarray, span: np.ndarray, emit) -> None:
-    """Shifts settled bytes out, in place, until every span is 2**48 at least and no top byte is settled."""
-    k = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOT))
+        entries = [e[a] for e, a in zip(self.entry, self.at, strict=True)]
+        self.sure = [e >> _CONFIDENCE for e in entries]
+        self.said = [e & ((1 << _CONFIDENCE) - 1) for e in entries]
+        self.context = self.pair + ((self.sure[0] << 3) + self.sure[1])
+        self.raw = [w[self.context] for w in self.weight]
+        self.w2, self.w1 = (np.minimum(w, cap) for w, cap in zip(self.raw, self.cap, strict=True))
+        self.rest = self.one - self.w2 - self.w1
+
+    def interval(self, symbol: np.ndarray, under: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbols' intervals start and how long they are; under and over: order 0 below and with each."""
+        two, one = self.said
+        self.hit = (two == symbol, one == symbol)
+        start = (under * self.rest) >> self.bits
+        size = ((over * self.rest) >> self.bits) - start
+        start += self.w2 * (two < symbol)
+        start += self.w1 * (one < symbol)
+        size += self.w2 * self.hit[0]
+        size += self.w1 * self.hit[1]
+        return start, size
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The symbols in whose intervals the places lie."""
+        two, one = self.said
+        table, rest = self.zero.under, self.rest
+        start2 = ((table[two] * rest) >> self.bits) + self.w1 * (one < two)
+        end2 = ((table[two + 1] * rest) >> self.bits) + self.w1 * (one <= two) + self.w2
+        start1 = ((table[one] * rest) >> self.bits) + self.w2 * (two < one)
+        end1 = ((table[one + 1] * rest) >> self.bits) + self.w2 * (two <= one) + self.w1
+        left = place - self.w2 * (place >= end2) - self.w1 * (place >= end1)
+        # The last place of order 0 whose share starts at or before what is left; exact, as the quotient is below 2**53.
+        at = ((((left + 1) << self.bits) - 1) / rest).astype(np.int64)
+        out = self.zero.of_place.take(at, mode="clip")
+        out = np.where((place >= start1) & (place < end1), one, out)
+        return np.where((place >= start2) & (place < end2), two, out)
+
+    def learn(self, symbol: np.ndarray, weights: int) -> None:
+        ids = symbol.astype(np.int32)
+        for k in range(2):
+            hit, sure, said = self.hit[k], self.sure[k], self.said[k]
+            new = np.where(hit | (sure > 1), said, ids)
+            new |= _NEXT[(sure << 1) + hit]
+            self.entry[k][self.at[k]] = new
+            if weights:
+                raw = self.raw[k]
+                self.weight[k][self.context] = raw + ((self.one * hit - raw) >> _RATE)
+        self.before, self.last = self.last, symbol
+
+
+def _settle(low: np.ndarray, span: np.ndarray, move) -> None:
+    """Shifts settled bits out, in place, until every span is 2**40 at least. move(lanes, low) takes 16 bits each."""
+    k = np.flatnonzero(span < _BOT)
     while len(k):
-        lo, sp = low.take(k), span.take(k)
-        apart = np.flatnonzero((lo ^ (lo + sp)) >= _TOP)
-        if len(apart):
-            sp[apart] = (~lo[apart] + _U(1)) & _LOW
-        emit(k, lo)
-        lo <<= _EIGHT
-        sp <<= _EIGHT
+        lo, sp = low[k], span[k]
+        apart = np.flatnonzero((lo ^ (lo + (sp - _U(1)))) >> _TOP)
+        if len(apart):  # the span is cut where a carry would change settled bits
+            sp[apart] = np.minimum(sp[apart], (~lo[apart] & _LOW) + _U(1))
+        move(k, lo)
+        lo <<= _UNIT
+        sp <<= _UNIT
         low[k], span[k] = lo, sp
-        k = k[((lo ^ (lo + sp)) < _TOP) | (sp < _BOT)]
+        k = k[sp < _BOT]
+
 
+def _heights(lengths: np.ndarray, most: int) -> list[int]:
+    """How many lanes have an id at each step; the longest lanes come first."""
+    return np.searchsorted(-lengths, -np.arange(most), "left").tolist()
 
-def _encode_blocks(blocks: np.ndarray, lengths: np.ndarray, base: int) -> list[bytes]:
-    """blocks: lanes x ids, longest lanes first; lengths: ids of each lane."""
+
+def _encode_blocks(blocks: np.ndarray, lengths: np.ndarray, zero: _Zero) -> list[bytes]:
+    """blocks: lanes x symbols, longest lanes first; lengths: symbols of each lane."""
     lanes, most = blocks.shape
-    model = _Model(lanes, base)
+    model = _Model(lanes, zero)
     low, span = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    out, pos = np.zeros((lanes, most * 10 + 32), np.uint8), np.zeros(lanes, np.int64)
-    width, flat = out.shape[1], out.reshape(-1)
-    start = np.arange(lanes) * width
+    out, pos = np.zeros((lanes, most * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
+    flat, start_of = out.reshape(-1), np.arange(lanes) * out.shape[1]
+    shift = _U(model.whole)
 
-    def emit(k: np.ndarray, lo: np.ndarray) -> None:
-        flat[start.take(k) + pos.take(k)] = lo >> _HIGH
+    def move(k: np.ndarray, lo: np.ndarray) -> None:
+        flat[start_of[k] + pos[k]] = lo >> _TOP
         pos[k] += 1
 
     columns = np.ascontiguousarray(blocks.T)
-    heights = np.searchsorted(-lengths, -np.arange(most), "left")  # lanes that have an id t
-    for t in range(most):
-        if heights[t] < len(model.lane):
-            model.narrow(heights[t])
-        n = len(model.lane)
-        ids = columns[t, :n]
+    for t, n in enumerate(_heights(lengths, most)):
+        if n < len(model.last):
+            model.narrow(n)
+        symbol = columns[t, :n].astype(np.int64)
         model.look()
-        right = (model.said[0] == ids, model.said[1] == ids)
-        choice = np.where(right[0], 0, 2 - right[1].view(np.int8))
-        lo, sp = model.choice.encode(model.mix, choice, low[:n], span[:n])
-        at = np.flatnonzero(choice == 2)
-        if len(at):
-            high, d2 = np.divmod(ids.take(at).astype(np.int64), base)
-            d0, d1 = np.divmod(high, base)
-            a, s = model.first.encode(at, d0, lo.take(at), sp.take(at))
-            a, s = model.second.encode(at * base + d0, d1, a, s)
-            lo[at], sp[at] = a, s
-            low[:n], span[:n] = lo, sp
-            _settle(low[:n], span[:n], emit)
-            lo[at], sp[at] = model.third.encode(at * NEAR + np.minimum(high, NEAR - 1), d2, low.take(at), span.take(at))
-            low[at], span[at] = lo.take(at), sp.take(at)
-        else:
-            low[:n], span[:n] = lo, sp
-        _settle(low[:n], span[:n], emit)
-        model.learn(ids, right)
-    for k in range(8):
-        out[np.arange(lanes), pos + k] = ((low >> _U(56 - 8 * k)) & _U(255)).astype(np.uint8)
-    return [out[i, : pos[i] + 8].tobytes() for i in range(lanes)]
-
-
-def _decode_blocks(payloads: list[bytes], lengths: np.ndarray, base: int) -> np.ndarray:
+        start, size = model.interval(symbol, zero.under[symbol], zero.under[symbol + 1])
+        part = span[:n] >> shift
+        low[:n] += part * start.view(_U)
+        span[:n] = part * size.view(_U)
+        model.learn(symbol, t & 1)
+        _settle(low[:n], span[:n], move)
+    for _ in range(4):
+        move(np.arange(lanes), low)
+        low <<= _UNIT
+    return [out[i, : pos[i]].astype("<u2").tobytes() for i in range(lanes)]
+
+
+def _decode_blocks(payloads: list[bytes], lengths: np.ndarray, zero: _Zero) -> np.ndarray:
     lanes, most = len(payloads), int(lengths[0])
-    model = _Model(lanes, base)
-    data = np.zeros((lanes, max(map(len, payloads)) + 8), np.uint8)
+    model = _Model(lanes, zero)
+    data = np.zeros((lanes, max(map(len, payloads)) // 2 + 1), np.uint16)
     for i, p in enumerate(payloads):
-        data[i, : len(p)] = np.frombuffer(p, np.uint8)
-    low, span = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    code, pos = np.zeros(lanes, _U), np.full(lanes, 8)
-    for k in range(8):
-        code = (code << _EIGHT) | data[:, k]
+        data[i, : len(p) // 2] = np.frombuffer(p, "<u2")
     width, flat = data.shape[1], data.reshape(-1)
-    start = np.arange(lanes) * width
+    if width < 5:
+        raise Corrupt("a block's payload ends early")
+    start_of, pos = np.arange(lanes) * width, np.full(lanes, 4)
+    low, span = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+    ahead = np.zeros(lanes, _U)  # the code less low
+    for k in range(4):
+        ahead = (ahead << _UNIT) | data[:, k]
+    shift = _U(model.whole)
     out = np.zeros((most, lanes), np.int32)
 
-    def take_in(k: np.ndarray, lo: np.ndarray) -> None:
-        place = pos.take(k)
+    def move(k: np.ndarray, _: np.ndarray) -> None:
+        place = pos[k]
         if place.max() >= width:
             raise Corrupt("a block's payload ends early")
-        code[k] = (code.take(k) << _EIGHT) | flat.take(start.take(k) + place)
+        ahead[k] = (ahead[k] << _UNIT) | flat[start_of[k] + place]
         pos[k] = place + 1
 
-    heights = np.searchsorted(-lengths, -np.arange(most), "left")
-    for t in range(most):
-        if heights[t] < len(model.lane):
-            model.narrow(heights[t])
-        n = len(model.lane)
+    for t, n in enumerate(_heights(lengths, most)):
+        if n < len(model.last):
+            model.narrow(n)
         model.look()
-        choice, lo, sp = model.choice.decode(model.mix, low[:n], span[:n], code[:n])
-        ids = np.where(choice == 0, model.said[0], model.said[1])
-        at = np.flatnonzero(choice == 2)
-        if len(at):
-            cd = code.take(at)
-            d0, a, s = model.first.decode(at, lo.take(at), sp.take(at), cd)
-            d1, a, s = model.second.decode(at * base + d0, a, s, cd)
-            lo[at], sp[at] = a, s
-            low[:n], span[:n] = lo, sp
-            _settle(low[:n], span[:n], take_in)
-            high = d0 * base + d1
-            d2, low[at], span[at] = model.third.decode(at * NEAR + np.minimum(high, NEAR - 1), low.take(at), span.take(at), code.take(at))
-            ids[at] = high * base + d2
-        else:
-            low[:n], span[:n] = lo, sp
-        _settle(low[:n], span[:n], take_in)
-        model.learn(ids, (model.said[0] == ids, model.said[1] == ids))
-        out[t, :n] = ids
+        part = span[:n] >> shift
+        place = np.minimum((ahead[:n] // part).view(np.int64), model.one - 1)
+        symbol = model.find(place)
+        start, size = model.interval(symbol, zero.under[symbol], zero.under[symbol + 1])
+        begin = part * start.view(_U)
+        low[:n] += begin
+        ahead[:n] -= begin
+        span[:n] = part * size.view(_U)
+        model.learn(symbol, t & 1)
+        _settle(low[:n], span[:n], move)
+        out[t, :n] = symbol
     return out.T
 
 
+def _table(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 6)
+
+
 def encode(ids: np.ndarray, vocabulary: int, block: int | None = None) -> bytes:
     """A chunk from ids (each below vocabulary)."""
     ids = np.asarray(ids, dtype=np.uint32)
     if len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError("an id is not below the vocabulary's size")
-    base, block = base_for(vocabulary), block or block_length(len(ids))
-    if block > BLOCK:
-        raise ValueError("blocks of more ids would overflow the counts")
+    block = block or block_length(len(ids))
+    counts = np.bincount(ids, minlength=1)
+    known = np.flatnonzero(counts)
+    if len(known) >= 1 << 20:
+        raise ValueError("a chunk holds a million distinct ids at most")
+    table = _table(known, counts[known])
     count = -(-len(ids) // block)
     payloads: list[bytes] = []
-    heads: list[bytes] = []
+    if count:
+        zero = _Zero(counts[known])
+        symbol_of = np.zeros(len(counts), np.int32)
+        symbol_of[known] = np.arange(len(known))
     for first in range(0, count, LANES):
         part = ids[first * block : (first + LANES) * block]
         lanes = -(-len(part) // block)
         lengths = np.full(lanes, block)
         lengths[-1] = len(part) - (lanes - 1) * block
         grid = np.zeros(lanes * block, np.int32)
-        grid[: len(part)] = part
-        payloads += _encode_blocks(grid.reshape(lanes, block), lengths, base)
+        grid[: len(part)] = symbol_of[part]
+        payloads += _encode_blocks(grid.reshape(lanes, block), lengths, zero)
+    heads = []
     for k, p in enumerate(payloads):
         own = ids[k * block : (k + 1) * block]
-        heads.append(struct.pack("<III", len(own), len(p), zlib.crc32(own.astype("<u4").tobytes())))
-    return b"".join([MAGIC, struct.pack("<III", base, block, count), *heads, *payloads])
+        heads.append(struct.pack("<III", len(own), len(p) // 2, zlib.crc32(own.astype("<u4").tobytes())))
+    return b"".join([MAGIC, struct.pack("<IIIII", block, count, len(known), len(table), zlib.crc32(table)), table, *heads, *payloads])
 
 
 def decode(chunk: bytes) -> np.ndarray:
-    """The ids of a chunk as uint32; every block's checksum is verified."""
-    if chunk[:4] != MAGIC:
+    """The ids of a chunk as uint32; the table's and every block's checksum is verified."""
+    if chunk[:4] != MAGIC or len(chunk) < 24:
         raise Corrupt("not a chunk")
-    base, block, count = struct.unpack_from("<III", chunk, 4)
-    heads = np.frombuffer(chunk, "<u4", 3 * count, 16).reshape(count, 3).astype(np.int64)
-    ends = 16 + 12 * count + np.cumsum(heads[:, 1])
-    if count and ends[-1] != len(chunk):
+    _, count, distinct, size, crc = struct.unpack_from("<IIIII", chunk, 4)
+    table = chunk[24 : 24 + size]
+    if zlib.crc32(table) != crc:
+        raise Corrupt("the table's checksum is wrong")
+    if not count:
+        return np.empty(0, np.uint32)
+    known, counts = np.frombuffer(zlib.decompress(table), "<u4").reshape(2, distinct)
+    known, zero = np.cumsum(known, dtype=np.uint32), _Zero(counts.astype(np.int64))
+    at = 24 + size
+    if len(chunk) < at + 12 * count:
+        raise Corrupt("a chunk's length is wrong")
+    heads = np.frombuffer(chunk, "<u4", 3 * count, at).reshape(count, 3).astype(np.int64)
+    ends = at + 12 * count + 2 * np.cumsum(heads[:, 1])
+    if ends[-1] != len(chunk) or (np.diff(heads[:, 0]) > 0).any():
         raise Corrupt("a chunk's length is wrong")
     out = []
     for first in range(0, count, LANES):
         own = heads[first : first + LANES]
-        payloads = [chunk[e - size : e] for e, size in zip(ends[first : first + LANES], own[:, 1], strict=True)]
-        grid = _decode_blocks(payloads, own[:, 0], base)
-        for row, (size, _, crc) in zip(np.ascontiguousarray(grid), own, strict=True):
-            ids = row[:size].astype("<u4")
+        payloads = [chunk[e - 2 * n : e] for e, n in zip(ends[first : first + LANES], own[:, 1], strict=True)]
+        grid = _decode_blocks(payloads, own[:, 0], zero)
+        for row, (n, _, crc) in zip(known[grid], own, strict=True):
+            ids = row[:n].astype("<u4")
             if zlib.crc32(ids.tobytes()) != crc:
                 raise Corrupt("a block's checksum is wrong")
             out.append(ids)
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    return np.concatenate(out)

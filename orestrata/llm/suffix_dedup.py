@@ -30,7 +30,7 @@ from .common import written
 
 LENGTH, GRAM = 100, 32
 #: Strings a scan handles at once; bytes of pieces that a shard holds, and that are merged at once.
-SLICE, SHARD, TOGETHER = 1 << 19, 1 << 19, 1 << 21
+SLICE, SHARD, TOGETHER = 1 << 16, 1 << 18, 1 << 20
 #: Unequal pieces of an anchor that one task compares.
 HOT = 20_000
 #: Bits of a bitmap, least and most (16 MB).
@@ -59,11 +59,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(32))
+    """x is changed."""
+    y = x >> _U(32)
+    x ^= y
     x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(29)
+    np.right_shift(x, _U(29), out=y)
+    x ^= y
     x *= _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(32))
+    np.right_shift(x, _U(32), out=y)
+    x ^= y
+    return x
 
 
 class Prefix:
@@ -82,29 +87,66 @@ class Prefix:
         return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's bytes: per run of strings with one anchor its hash, first start, number of starts, and piece hash."""
-    out = []
-    for first in range(0, len(data) - length + 1, SLICE):
-        part = data[first : first + SLICE + length - 1]
-        prefix = Prefix(part)
-        hashes = prefix.all_of(gram)
-        window, n, span = length - gram + 1, len(part) - length + 1, 1
-        # A hash's upper bits over its place: the least of a window is the first of its least grams.
-        value = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=_U)
-        while span * 2 <= window:
-            value = np.minimum(value[:-span], value[span:])
-            span *= 2
-        place = (np.minimum(value[window - span :][:n], value[:n]) & _PLACE).view(np.int64)
-        cut = np.flatnonzero(np.diff(place)) + 1
-        start = np.concatenate([[0], cut])
-        count = np.diff(np.concatenate([start, [n]]))
-        out.append((hashes[place[start]], start + first, count, prefix.of(start, start + count + length - 1)))
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _scan(parts: list[np.ndarray], owners: list[int], firsts: list[int], length: int, gram: int) -> Runs:
+    """anchors_of for parts that are hashed as one array; a part stands for bytes from firsts on of text owners."""
+    part = np.concatenate(parts)
+    stops = np.cumsum([len(p) for p in parts])
+    begins = stops - [len(p) for p in parts]
+    lasts = stops - length + 1  # behind the last string that ends within its text
+    prefix = Prefix(part)
+    hashes = prefix.all_of(gram)
+    window, n, span = length - gram + 1, len(part) - length + 1, 1
+    # A hash's upper bits over its place: the least of a window is the first of its least grams.
+    value = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=_U)
+    while span * 2 <= window:
+        value = np.minimum(value[:-span], value[span:])
+        span *= 2
+    place = (np.minimum(value[window - span :][:n], value[:n]) & _PLACE).view(np.int64)
+    start = np.sort(np.concatenate([np.flatnonzero(place[1:] != place[:-1]) + 1, begins, lasts]))
+    start = start[np.append(start[1:] != start[:-1], True) & (start < n)]
+    count = np.diff(start, append=n)
+    own = np.searchsorted(begins, start, "right") - 1
+    use = start < lasts[own]
+    start, count, own = start[use], count[use], own[use]
+    at = start - begins[own] + np.array(firsts)[own]
+    return np.array(owners)[own], hashes[place[start]], at, count, prefix.of(start, start + count + length - 1)
+
+
+def anchors_of(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM) -> Runs:
+    """Of texts' bytes, per run of strings with one anchor: the text's number, the anchor's hash, first start, number of
+    starts, and piece hash. Short texts are hashed together, long ones in slices."""
+    out: list[Runs] = []
+    held: list[tuple[np.ndarray, int]] = []
+    size = 0
+
+    def flush() -> None:
+        if held:
+            out.append(_scan([h[0] for h in held], [h[1] for h in held], [0] * len(held), length, gram))
+
+    for i, data in enumerate(texts):
+        if len(data) > SLICE + length:
+            for first in range(0, len(data) - length + 1, SLICE):
+                out.append(_scan([data[first : first + SLICE + length - 1]], [i], [first], length, gram))
+        elif len(data) >= length:
+            held.append((data, i))
+            size += len(data)
+            if size > SLICE:
+                flush()
+                held, size = [], 0
+    flush()
     if not out:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
+        return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchors_of for one text, without its number."""
+    return anchors_of([data], length, gram)[1:]
+
+
 class Bits:
     """A bitmap of 64-bit hashes, of a size by their number but bounded; may say yes wrongly, never no."""
 
@@ -146,35 +188,42 @@ def _keys(places: DataFrame) -> DataFrame:
 # --- shard transforms and their merge
 
 
+def _ranks(symbols: np.ndarray) -> np.ndarray:
+    """Dense numbers in the symbols' order, from 1; 0 for 0."""
+    known, out = np.unique(symbols, return_inverse=True)
+    return out.reshape(symbols.shape) + (len(known) > 0 and known[0] != 0)
+
+
 def shard_transform(symbols: np.ndarray, stride: int, offset: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffix order of one shard to a depth of four symbols, and its transform: before each suffix, in that order,
-    the symbol that ends where it starts (0 where there is none). symbols: at each place the hash of the next stride
+    the symbol that ends where it starts (0 where there is none). symbols: at each place the rank of the next stride
     bytes of its piece, 0 where fewer are left; a piece's end is a place too."""
-    keys = [symbols]
-    for k in (1, 2, 3):
-        ahead = np.zeros(len(symbols), _U)
-        at = np.flatnonzero(offset + k * stride <= size)
-        ahead[at] = symbols[at + k * stride]
-        keys.append(ahead)
-    order = np.lexsort(keys[::-1])
-    before = np.zeros(len(symbols), _U)
-    at = np.flatnonzero(offset >= stride)
-    before[at] = symbols[at - stride]
-    return order, before[order]
+    symbols = symbols.astype(np.int64)
+
+    def ahead(of: np.ndarray, places: int) -> np.ndarray:
+        out = np.zeros(len(of), np.int64)
+        at = np.flatnonzero(offset + places <= size)
+        out[at] = of[at + places]
+        return out
+
+    pairs = _ranks((symbols << 32) | ahead(symbols, stride))
+    order = np.argsort((pairs << 32) | ahead(pairs, 2 * stride))
+    return order, np.where(offset >= stride, symbols[np.maximum(np.arange(len(symbols)) - stride, 0)], 0)[order]
 
 
 def merge(transforms: list[np.ndarray], depth: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Refines the interleave of the shards' transforms depth times. Returns the shard of each entry of the merged order,
     the entry's interval (entries in one interval share depth symbols) and the common symbols with the entry before."""
     shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
+    place = np.arange(len(shard))
     interval = np.zeros(len(shard), np.int32)
     common = np.full(len(shard), depth, np.int8)
     for k in range(depth):
-        symbols = np.empty(len(shard), _U)
+        symbols = np.empty(len(shard), np.int64)
         for s, t in enumerate(transforms):
             symbols[shard == s] = t
-        order = np.argsort(symbols, kind="stable")
-        symbols = symbols[order]
+        keyed = np.sort((symbols << 32) | place)  # symbols in their order, equal ones as they stand: no suffix is compared
+        order, symbols = keyed & 0xFFFFFFFF, keyed >> 32
         apart = np.ones(len(order), bool)
         apart[1:] = (symbols[1:] != symbols[:-1]) | (np.diff(interval[order]) != 0) | (symbols[1:] == 0)
         shard = shard[order]
@@ -183,44 +232,54 @@ def merge(transforms: list[np.ndarray], depth: int = 4) -> tuple[np.ndarray, np.
     return shard, interval, common
 
 
-def repeated_starts(pieces: list[bytes], docs: np.ndarray, firsts: np.ndarray, counts: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> list[np.ndarray]:
-    """Per piece (bytes; document; first start; number of starts) a mask of the starts whose string some other place,
-    earlier in the order of (document, start), has too."""
+def later_starts(pieces: list[bytes], docs: np.ndarray, firsts: np.ndarray, counts: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and start (within it) of each string that some other place, earlier in the order of (document, start), has
+    too. Pieces are given as bytes, document, first start and number of starts. What the merge finds equal is compared
+    byte by byte with the earliest of its interval."""
     stride = length // 4
-    shards: list[list[int]] = [[]]
-    held = 0
-    for i, p in enumerate(pieces):
-        if held + len(p) > shard and shards[-1]:
-            shards.append([])
-            held = 0
-        shards[-1].append(i)
-        held += len(p)
-    transforms, owners, places = [], [], []
-    for own in shards:
-        sizes = np.array([len(pieces[i]) for i in own])
-        data = np.frombuffer(b"\0".join(pieces[i] for i in own) + b"\0", np.uint8)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        piece = np.repeat(np.arange(len(own)), sizes + 1)
-        offset = np.arange(len(data)) - starts[piece]
-        symbols = np.zeros(len(data), _U)
-        full = np.flatnonzero(offset + stride <= sizes[piece])
-        symbols[full] = Prefix(data).all_of(stride)[full] | _U(1)  # 0 stays free
-        order, transform = shard_transform(symbols, stride, offset, sizes[piece])
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    data = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    piece = np.repeat(np.arange(len(pieces)), sizes + 1)
+    offset, size = np.arange(len(data)) - starts[piece], sizes[piece]
+    symbols = np.zeros(len(data), _U)
+    full = np.flatnonzero(offset + stride <= size)
+    symbols[full] = Prefix(data).all_of(stride)[full] | _U(1)  # 0 stays free
+    ranks = _ranks(symbols)
+    # A shard is a run of whole pieces; each is sorted alone.
+    cuts = [0, *(np.flatnonzero(np.diff(starts // shard)) + 1).tolist(), len(pieces)]
+    bounds = [int(starts[c]) if c < len(pieces) else len(data) for c in cuts]
+    transforms, at = [], []
+    for x, y in zip(bounds, bounds[1:], strict=False):
+        order, transform = shard_transform(ranks[x:y], stride, offset[x:y], size[x:y])
         transforms.append(transform)
-        owners.append(np.array(own, np.int32)[piece[order]])
-        places.append(offset[order].astype(np.int32))
-    which, interval, _ = merge(transforms)
-    owner, place = np.empty(len(which), np.int32), np.empty(len(which), np.int32)
-    for s in range(len(shards)):
-        owner[which == s], place[which == s] = owners[s], places[s]
-    use = np.flatnonzero(place < counts[owner])
-    owner, place, interval = owner[use], place[use], interval[use]
-    rank = np.lexsort((firsts[owner] + place, docs[owner], interval))
-    group, doc, start = interval[rank], docs[owner[rank]], (firsts[owner] + place)[rank]
-    head = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)], np.arange(len(group)), 0))
-    later = (doc != doc[head]) | (start != start[head])  # rows that repeat a document name the same places
+        at.append(order + x)
+    which, interval, common = merge(transforms)
+    merged = np.empty(len(which), np.int64)
+    for s, own in enumerate(at):
+        merged[which == s] = own
+    # Repeated intervals: entries that share all symbols with the entry before or after, and are starts.
+    shared = common == 4
+    shared[:-1] |= shared[1:]
+    merged, interval = merged[shared], interval[shared]
+    use = np.flatnonzero(offset[merged] < counts[piece[merged]])
+    merged, group = merged[use], interval[use]
+    doc, start = docs[piece[merged]], firsts[piece[merged]] + offset[merged]
+    rank = np.lexsort((start, doc, group))
+    merged, group, doc, start = merged[rank], group[rank], doc[rank], start[rank]
+    first = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
+    later = np.flatnonzero((doc != doc[head]) | (start != start[head]))  # rows that repeat a document name the same places
+    windows = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else data.reshape(0, 1)
+    same = [(windows[merged[part]] == windows[merged[head[part]]]).all(axis=1) for part in np.array_split(later, len(later) // 50_000 + 1)]
+    found = merged[later[np.concatenate(same)]]
+    return piece[found], offset[found]
+
+
+def repeated_starts(pieces: list[bytes], docs: np.ndarray, firsts: np.ndarray, counts: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> list[np.ndarray]:
+    """later_starts as a mask of each piece's starts."""
     out = [np.zeros(c, bool) for c in counts.tolist()]
-    for i, j in zip(owner[rank[later]].tolist(), place[rank[later]].tolist(), strict=True):
+    for i, j in zip(*later_starts(pieces, docs, firsts, counts, length, shard), strict=True):
         out[i][j] = True
     return out
 
@@ -238,8 +297,7 @@ def _anchor_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [anchors(_bytes(t), length, gram)[0] for t in b.column("text")]
-            h, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, _U), np.empty(0, np.int64))
+            h, c = np.unique(anchors_of([_bytes(t) for t in b.column("text")], length, gram)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
 
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -251,34 +309,30 @@ def _bytes(value: pa.StringScalar) -> np.ndarray:
 
 
 def _pieces(docs: DataFrame, length: int, gram: int, anchor_bits, place_bits=None) -> DataFrame:
-    """h, piece (hash), doc, start, n of the pieces whose anchor is in anchor_bits; with place_bits, of those whose place
-    is in it, and their bytes as text."""
-    fields = [("h", pa.int64()), ("piece", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())] + ([("text", pa.binary())] if place_bits else [])
+    """h, piece and check (two hashes of its bytes), doc, start, n of the pieces whose anchor is in anchor_bits; with
+    place_bits, of those whose place is in it, and their bytes as text."""
+    names = ["h", "piece", "check", "doc", "start", "n"] + (["text"] if place_bits else [])
 
     def run(batches):
+        import xxhash
+
         bits, places = anchor_bits.value, place_bits.value if place_bits else None
         for b in batches:
             for at in range(0, b.num_rows, 128):  # a bounded number of texts a result
                 part = b.slice(at, 128)
-                cols: list[list] = [[] for _ in fields]
-                for doc, value in zip(part.column("doc").to_pylist(), part.column("text"), strict=True):
-                    data = _bytes(value)
-                    h, start, n, piece = anchors(data, length, gram)
-                    use = bits.has(h)
-                    if places is not None:
-                        use &= places.has(_key(np.full(len(h), doc), start))
-                    at_ = np.flatnonzero(use)
-                    for c, x in zip(cols, (h[at_].view(np.int64), piece[at_].view(np.int64), np.full(len(at_), doc), start[at_], n[at_].astype(np.int32)), strict=False):
-                        c.append(x)
-                    if places is not None:
-                        raw = data.tobytes()
-                        cols[5] += [raw[s : s + k + length - 1] for s, k in zip(start[at_].tolist(), n[at_].tolist(), strict=True)]
-                arrays = [pa.array(np.concatenate(c) if c else [], kind) for c, (_, kind) in zip(cols[:5], fields, strict=False)]
+                doc, texts = part.column("doc").to_numpy(), [_bytes(t) for t in part.column("text")]
+                own, h, start, n, piece = anchors_of(texts, length, gram)
+                use = bits.has(h)
                 if places is not None:
-                    arrays.append(pa.array(cols[5], pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, names=[f[0] for f in fields])
+                    use &= places.has(_key(doc[own], start))
+                own, h, start, n, piece = (x[use] for x in (own, h, start, n, piece))
+                raw = [texts[i][s : s + k + length - 1].tobytes() for i, s, k in zip(own.tolist(), start.tolist(), n.tolist(), strict=True)]
+                check = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], _U)
+                columns = [h.view(np.int64), piece.view(np.int64), check.view(np.int64), doc[own], start, n.astype(np.int32)]
+                arrays = [pa.array(c) for c in columns] + ([pa.array(raw, pa.binary())] if places is not None else [])
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, "h long, piece long, doc long, start long, n int" + (", text binary" if place_bits else ""))
+    return docs.mapInArrow(run, "h long, piece long, check long, doc long, start long, n int" + (", text binary" if place_bits else ""))
 
 
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
@@ -291,14 +345,14 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def result():
-            texts, docs, starts, counts = [r[4] for r in held], *(np.array([r[i] for r in held]) for i in (1, 2, 3))
-            out: list[list] = [[], [], []]
-            for doc, first, mask in zip(docs.tolist(), starts.tolist(), repeated_starts(texts, docs, starts, counts, length), strict=True):
-                for a, b in zip(*_runs(mask), strict=True):
-                    out[0].append(doc)
-                    out[1].append(first + int(a))
-                    out[2].append(first + int(b) + length - 1)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "start", "end"])
+            texts, docs, starts, counts = [r[4] for r in held], *(np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
+            owner, place = later_starts(texts, docs, starts, counts, length)
+            order = np.lexsort((place, owner))
+            owner, place = owner[order], place[order]
+            edge = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(place) != 1), [True]])  # runs of starts
+            first, last = np.flatnonzero(edge[:-1])[: len(owner)], np.flatnonzero(edge[1:])[: len(owner)]
+            spans = [docs[owner[first]], starts[owner[first]] + place[first], starts[owner[first]] + place[last] + length] if len(owner) else [docs[:0]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in spans], names=["doc", "start", "end"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("h", "doc", "start", "n", "text")), strict=True):
@@ -337,8 +391,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     anchor_bits = send(Bits.build(written(_anchor_counts(docs, length, gram).where("c > 1").select("h")), F.col("h")))
     found = written(_pieces(docs, length, gram, anchor_bits))
     place = F.struct("doc", "start", "n")
-    kinds = written(found.groupBy("h", "piece").agg(F.min(place).alias("first"), F.count("*").alias("c")))
-    copies = found.join(kinds.where("c > 1").select("h", "piece", "first"), ["h", "piece"]).where(F.struct("doc", "start") > F.struct("first.doc", "first.start"))
+    key = ["h", "piece", "check"]
+    kinds = written(found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("c")))
+    copies = found.join(kinds.where("c > 1").select(*key, "first"), key).where(F.struct("doc", "start") > F.struct("first.doc", "first.start"))
     spans = copies.select("doc", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
     unlike = written(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
     firsts = written(kinds.join(unlike, "h").select("h", "k", "first.doc", "first.start"))

@@ -14,8 +14,10 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,49 +31,62 @@ from .common import shared_dir
 
 #: Ids in a chunk, at least (the last of a part aside): one set of lanes of whole blocks.
 CHUNK = range_coder.BLOCK * range_coder.LANES
-#: Words whose ids a worker keeps, and that are encoded as one text.
-_KEEP, _TOGETHER = 600_000, 2000
-#: A control character that stands between words encoded together; its one id then parts theirs.
-_MARK = "\x01"
-_SCHEMA = "part int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>, bytes binary"
+#: Words whose ids a worker keeps.
+_KEEP = 1_000_000
+#: A word of ASCII or Latin-1 letters, and marks (no apostrophe) behind it.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+_SCHEMA = "part int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>, bytes binary, crc long"
+
+
+class _Known(dict):
+    def __init__(self, ids_of: Callable[[bytes], bytes]):
+        self.ids_of = ids_of
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self[word] = self.ids_of(word)
+        return out
 
 
 class WordEncoder:
+    """The ids of texts, word by word. A plain word is lower-cased here and cut by the library's model alone, which is four
+    times as fast as its whole chain; every other word, and every word of a tokenizer whose chain gives other ids for
+    the probes, goes through the chain."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.known, self.tails = _Known(self.ids_of), _Known(self._whole)
+        letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]]
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda c: [(c, None)]
+        self.spelling = {ord(c): "".join(part for part, _ in cut(c)) for c in letters}
+        probes = [*letters, *(c.upper() for c in letters if c != "\xff"), "".join(letters), *(f"Ab{c}l{end}" for c in letters for end in (".", "...", "!?", "$$$", ",***", ")]}_`~"))]
+        probes = [w for w in probes if _PLAIN.fullmatch(w)]
+        self.plain = True
+        self.plain = all(self.ids_of(w.encode()) == self._whole(w.encode()) for w in probes)
+        self.known.clear()
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, match: re.Match) -> bytes:
+        core, tail = match.groups()
+        low = core.lower()
+        if tail or low != core:
+            return self.known[low.encode()] + (self.tails[tail.encode()] if tail else b"")
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(low.translate(self.spelling))]).tobytes()
+
+    def ids_of(self, word: bytes) -> bytes:
+        match = _PLAIN.fullmatch(word.decode()) if self.plain else None
+        return self._plain(match) if match else self._whole(word)
 
     def batch(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
-        split = [t.encode().split() if t else [] for t in texts]
         if len(self.known) > _KEEP:
             self.known.clear()
-        self.learn([*{w for ws in split for w in ws} - self.known.keys()])
-        last = array("I", [end]).tobytes()
-        return [np.frombuffer(b"".join([*map(self.known.__getitem__, ws), last]), np.uint32) for ws in split]
-
-
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if self.mark is not None and b"\x01" not in w]
-        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        texts = [f" {_MARK} ".join([w.decode() for w in g]) for g in groups]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            marks = np.flatnonzero(ids == self.mark)
-            if len(marks) != len(group) - 1:
-                raise RuntimeError("words encoded together were not parted")
-            data, ends = ids.tobytes(), [*(marks * 4).tolist(), 4 * len(ids)]
-            start = 0
-            for word, end in zip(group, ends, strict=True):
-                self.known[word] = data[start:end]
-                start = end + 4
-        for word in words if self.mark is None else [w for w in words if b"\x01" in w]:
-            self.known[word] = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        last, of = array("I", [end]).tobytes(), self.known.__getitem__
+        return [np.frombuffer(b"".join([*map(of, t.encode().split()), last]) if t else last, np.uint32) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -79,11 +94,17 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _checksum(part: int, chunk: int, first: int, n_ids: int, doc_ids: list, lengths: list) -> int:
+    """Over what a chunk's row says beside its bytes, which have their own."""
+    return zlib.crc32(repr((part, chunk, first, n_ids, doc_ids, lengths)).encode())
+
+
 def write(docs: DataFrame, tokenizer: str, end: int, path: str, partitions: int | None = None) -> None:
     """Encodes docs (doc_id, text) and writes the files at path."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches):
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
@@ -93,9 +114,11 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str, partitions: int
 
         def row():
             all_ids = np.concatenate(ids)
-            values = [[part], [chunk], [first], [len(all_ids)], [doc_ids], [[len(i) for i in ids]], [range_coder.encode(all_ids, encoder.vocabulary)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["part", "chunk", "first", "n_ids", "doc_ids", "lengths", "bytes"]
+            lengths = [len(i) for i in ids]
+            head = (part, chunk, first, len(all_ids))
+            values = [*([h] for h in head), [doc_ids], [lengths], [range_coder.encode(all_ids, encoder.vocabulary)], [_checksum(*head, doc_ids, lengths)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+            names = ["part", "chunk", "first", "n_ids", "doc_ids", "lengths", "bytes", "crc"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for b in batches:
@@ -138,7 +161,10 @@ def _read(spark, path: str, field: str, derive) -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 one = b.slice(row, 1)
-                lengths = np.array(one.column("lengths")[0].as_py())
+                said = [one.column(c)[0].as_py() for c in ("part", "chunk", "first", "n_ids", "doc_ids", "lengths")]
+                if _checksum(*said) != one.column("crc")[0].as_py():
+                    raise range_coder.Corrupt("a chunk's documents have a wrong checksum")
+                lengths = np.array(said[-1])
                 ids = range_coder.decode(one.column("bytes")[0].as_py())
                 if len(ids) != lengths.sum():
                     raise range_coder.Corrupt("documents and ids differ in number")
@@ -147,7 +173,7 @@ def _read(spark, path: str, field: str, derive) -> DataFrame:
                 own = [ids[e - size : e] for e, size in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([one.column("doc_ids").flatten(), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), derive(own)], names=["doc_id", "start", "n_tokens", name])
 
-    rows = files.join(F.broadcast(starts), "part").select("first", "before", "doc_ids", "lengths", "bytes")
+    rows = files.join(F.broadcast(starts), "part").select(*files.columns, "before")
     return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
 
 
