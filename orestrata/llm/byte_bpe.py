@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 #: A text of more characters is cut; also the least distance between cuts.
 PIECE = 20_000
+#: Rows whose ids a worker holds as Python integers at once.
+ROWS = 128
 #: A letter, digit or plain punctuation mark before a space or newline; Python and the library agree on all of these.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?=[ \n])")
 
@@ -61,6 +63,12 @@ def encode(text: str | None, encoder, piece: int = PIECE) -> list[int]:
     return ids
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of docs and ids array<int>: the ids of text. A column ids of docs is replaced."""
     docs = docs.drop("ids")
@@ -68,7 +76,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         encoder = encoding(path, pattern)
-        for b in batches:
+        for b in _parts(batches):
             ids = pa.array([encode(t, encoder) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
 
@@ -83,7 +91,7 @@ def decode_documents(rows: DataFrame, path: str, pattern: str, column: str = "id
 
     def run(batches):
         encoder = encoding(path, pattern)
-        for b in batches:
+        for b in _parts(batches):
             out = pa.array([encoder.decode_bytes(ids or []) for ids in b.column(column).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 

@@ -35,11 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/orestrata-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut, and a lost executor costs a re-read only."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut, and a lost executor costs a re-read only.
+    batch: rows that Python workers get at once at most, for wide rows; the session's own setting comes back after."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch:
+        spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +58,8 @@ def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows with whole texts or sets that a Python worker gets at once.
+WIDE = 1000
 #: Bits of the bitmap that parted() broadcasts, least and most (half a million rows of 16 bytes).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 

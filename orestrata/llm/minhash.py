@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parted, words, written
+from .common import WIDE, parted, words, written
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -182,7 +182,7 @@ class _Links:
 
     def confirm(self, pairs: DataFrame) -> bool:
         """Adds the similar ones of the pairs (a, b); true if many of them were."""
-        fresh = written(confirmed(pairs, self.sets, self.similar))
+        fresh = written(confirmed(pairs, self.sets, self.similar), WIDE)
         links = fresh.count()
         if links:
             self.found = self.found.unionByName(fresh)
@@ -306,7 +306,7 @@ def links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
     sharing a bucket into one component."""
     support = members.groupBy("id").agg(F.sum("cnt").alias("support"))
     pool = written(members.join(support, "id").select("bucket", "id", "n", "support", F.col("id").alias("root")))
-    state = _Links(written(sets_of(pool.select("id").distinct())), similar)
+    state = _Links(written(sets_of(pool.select("id").distinct()), WIDE), similar)
     pool = state.stars(pool)
     if pool.limit(1).count():
         # Documents left in split buckets are mostly alike but not similar. Of these, only such pairs can be similar as
@@ -319,7 +319,7 @@ def links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    feats = written(features(docs, n))  # the one pass over all texts: about 300 bytes a document
+    feats = written(features(docs, n), WIDE)  # the one pass over all texts: about 300 bytes a document
     filled = feats.where("n_shingles > 0")
     reps = written(filled.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")))
     by_band = reps.where("id IS NOT NULL").select("id", "n", F.explode("buckets").alias("bucket"))

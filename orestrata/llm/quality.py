@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, parted, written
+from .common import WIDE, crc_mod, parted, written
 
 #: Part of a class covariance taken from the pooled one, and part of the result taken from its mean variance.
 TO_POOLED, TO_IDENTITY = 0.3, 0.05
@@ -148,7 +148,7 @@ def fit(statistics_of: DataFrame, labels: DataFrame, learns: Column) -> Discrimi
 def _scored(docs: DataFrame, labels: DataFrame, mod: int | None) -> DataFrame:
     """doc_id, text_key, held_out, score, predicted of each row; the model is fitted here, eagerly."""
     held = (crc_mod("doc_id", mod) == 0) if mod else F.lit(False)
-    x = written(with_statistics(docs))  # the one pass over the texts
+    x = written(with_statistics(docs), WIDE)  # the one pass over the texts
     model = fit(x, labels, ~F.coalesce(held, F.lit(False)))
     d = len(FEATURES)
 

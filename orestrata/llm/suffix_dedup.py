@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WIDE, written
 
 LENGTH, GRAM = 100, 32
 #: Strings a scan handles at once; bytes of pieces that a shard holds, and that are merged at once.
@@ -388,8 +388,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """docs: doc long, text. Returns doc, start, end: byte spans (they may overlap) whose union is what repeats."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
-    anchor_bits = send(Bits.build(written(_anchor_counts(docs, length, gram).where("c > 1").select("h")), F.col("h")))
-    found = written(_pieces(docs, length, gram, anchor_bits))
+    anchor_bits = send(Bits.build(written(_anchor_counts(docs, length, gram).where("c > 1").select("h"), WIDE), F.col("h")))
+    found = written(_pieces(docs, length, gram, anchor_bits), WIDE)
     place = F.struct("doc", "start", "n")
     key = ["h", "piece", "check"]
     kinds = written(found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("c")))
@@ -398,7 +398,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     unlike = written(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
     firsts = written(kinds.join(unlike, "h").select("h", "k", "first.doc", "first.start"))
     place_bits = send(Bits.build(_keys(firsts), F.col("key")))
-    pieces = written(_pieces(docs, length, gram, anchor_bits, place_bits).join(unlike, "h"))
+    pieces = written(_pieces(docs, length, gram, anchor_bits, place_bits).join(unlike, "h"), WIDE)
     spans = spans.unionByName(_compared(pieces.where(F.col("k") <= hot), length))
     many = pieces.where(F.col("k") > hot)
     return spans.unionByName(_aggregated(many, length)) if many.limit(1).count() else spans
