@@ -23,10 +23,9 @@ class ConstraintViolation(ValueError):
 
 def require_columns(df: DataFrame, required: Sequence[str] = (), any_of: Sequence[Sequence[str]] = ()) -> None:
     """Fails if a required column is missing, or all of a group of alternatives."""
-    have = set(df.columns)
-    lacking = [c for c in required if c not in have] + ["|".join(group) for group in any_of if not have & set(group)]
-    if lacking:
-        raise ContractError(f"missing columns: {', '.join(lacking)}; found: {', '.join(df.columns)}")
+    unmet = [names for names in (*([c] for c in required), *any_of) if set(df.columns).isdisjoint(names)]
+    if unmet:
+        raise ContractError(f"{', '.join(map('|'.join, unmet))} not among {', '.join(df.columns)}")
 
 
 @dataclass(frozen=True)

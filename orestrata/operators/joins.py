@@ -53,7 +53,7 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: s
     """Inner join of points (a number) into half-open ranges by buckets of width: an equi-join on the bucket, then the
     exact condition. A range is repeated for each bucket it touches, so width should be near a typical length."""
     p = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    last = F.floor((F.col(end) - 1) / width)
+    last = F.floor(F.col(end) / width)  # one bucket more than needed where a range ends on an edge; the exact condition decides
     r = ranges.where(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), last)))
     return p.join(r, [*keys, "_bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
 

@@ -144,13 +144,12 @@ class VersionedTable:
         """Writes df to new directories, one a partition, and checks the constraints on what was written."""
         folder = f"data/{uuid.uuid4().hex}"
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
-        if self.spec.sort_by:
-            df = df.sortWithinPartitions(*self.spec.sort_by)
         if self.spec.partition_by:
-            df.withColumn("_p", self._part()).write.partitionBy("_p").parquet(f"{self.root}/{folder}")
+            # Sorted by the partition too, or the writer sorts again by it alone and the order is lost.
+            df.withColumn("_p", self._part()).sortWithinPartitions("_p", *self.spec.sort_by).write.partitionBy("_p").parquet(f"{self.root}/{folder}")
             dirs = {self._unescape(n[3:]): [f"{folder}/{n}"] for n in self.files.names(f"{self.root}/{folder}") if n.startswith("_p=")}
         else:
-            df.write.parquet(f"{self.root}/{folder}")
+            (df.sortWithinPartitions(*self.spec.sort_by) if self.spec.sort_by else df).write.parquet(f"{self.root}/{folder}")
             dirs = {WHOLE: [folder]}
         if dirs:
             self.spec.enforce(self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{d}" for ds in dirs.values() for d in ds]))
@@ -213,9 +212,16 @@ class VersionedTable:
 
     def upsert(self, source: DataFrame, keys: Sequence[str], newer: str | None, prune: bool = False, batch: tuple[str, int] | None = None, pause: float = 5.0) -> Version:
         """Matched rows are replaced if newer (a column) is strictly greater in source, or always if None; others are
-        inserted. prune: equal keys imply equal partitions, so only partitions of source are read and rewritten. Source
-        must hold a key once. One shuffle: source and target meet in a window by key."""
-        w = Window.partitionBy(*keys).orderBy(*([F.col(newer).desc_nulls_last()] if newer else []), F.col("_new") if newer else F.col("_new").desc())
+        inserted. A null in a key matches nothing: such rows of both sides stay, and so do target rows that repeat a key, all
+        of which a match replaces. prune: equal keys imply equal partitions, so only partitions of source are read and
+        rewritten. Source must hold a key once. One shuffle: source and target meet in a window by key."""
+        w = Window.partitionBy(*keys, "_alone")
+        no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        here, there = F.max(F.when(F.col("_new") == 0, F.struct(F.col(newer) if newer else F.lit(0)))).over(w), F.max("_new").over(w)
+        in_source = F.max(F.when(F.col("_new") == 1, F.struct(F.col(newer) if newer else F.lit(0)))).over(w)
+        # Without newer every match replaces; with it, a strictly greater value does (a null is older than any).
+        wins = here.isNull() | (F.lit(True) if newer is None else in_source > here)
+        stays = F.when(F.col("_new") == 1, wins).otherwise((there == 0) | ~wins)
 
         def work(base: Version) -> Version:
             if self._seen(base, batch):
@@ -223,7 +229,8 @@ class VersionedTable:
             touched = self._touched(source, prune)
             columns = [f.name for f in self.schema]
             both = self.read(base.number, touched).withColumn("_new", F.lit(0)).unionByName(source.select(*columns).withColumn("_new", F.lit(1)))
-            best = both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
+            both = both.withColumn("_alone", F.when(no_key, F.monotonically_increasing_id()))
+            best = both.withColumn("_stays", stays).where("_stays").drop("_stays", "_new", "_alone")
             keep = {} if touched is None else {p: d for p, d in base.parts.items() if p not in touched}
             return self._commit(base, keep | self._write(best), "upsert", batch)
 
@@ -257,7 +264,7 @@ class VersionedTable:
     # --- upkeep
 
     def compact(self, files_per_part: int = 1) -> Version:
-        """Rewrites partitions of several directories into one each, sorted."""
+        """Rewrites partitions of several directories into one each, every file sorted by the table's order."""
 
         def work(base: Version) -> Version:
             many = [p for p, d in base.parts.items() if len(d) > 1]

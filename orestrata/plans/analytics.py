@@ -13,7 +13,7 @@ from ..operators.joins import orphans, outside_validity
 MILL = ("planta_id", "moinho_id")
 
 
-def monthly_drop(production: DataFrame, as_of: Column, top: int = 3, months: int = 6, day: str = "data", tonnes: str = "toneladas_produzidas", mill: Sequence[str] = MILL, rounded: bool = True) -> DataFrame:
+def monthly_drop(production: DataFrame, as_of: Column, top: int = 3, months: int = 6, day: str = "data", tonnes: str = "toneladas_produzidas", mill: Sequence[str] = MILL, rounded: bool = True, ties: bool = False) -> DataFrame:
     """Each mill's worst drop from one month to the next over the last full months, and the top mills by it.
 
     The series has no holes: a month without rows counts 0, a month whose rows are all null stays unknown and is no
@@ -31,12 +31,13 @@ def monthly_drop(production: DataFrame, as_of: Column, top: int = 3, months: int
     dense = series.select(*mill, "mes", value.alias("now")).withColumn("before", F.lag("now").over(w))
     drops = dense.where((F.col("mes") > first) & (F.col("before") > 0) & (F.col("now") < F.col("before"))).withColumn("pct", (F.col("before") - F.col("now")) / F.col("before") * 100)
     worst = drops.withColumn("_rn", F.row_number().over(Window.partitionBy(*mill).orderBy(F.desc("pct"), F.desc("mes")))).where("_rn = 1")
-    place = F.row_number().over(Window.orderBy(F.desc("pct"), *mill))  # a row a mill; Spark makes it a distributed top-k
+    # A row a mill; Spark makes it a distributed top-k. With ties, mills of one drop share a place and all come.
+    place = F.rank().over(Window.orderBy(F.desc("pct"))) if ties else F.row_number().over(Window.orderBy(F.desc("pct"), *mill))
     pct = F.round("pct", 2) if rounded else F.col("pct")
     return (
         worst.withColumn("posicao", place).where(F.col("posicao") <= top)
         .select("posicao", *mill, F.col("mes").alias("mes_da_queda"), F.col("before").alias("toneladas_mes_anterior"), F.col("now").alias("toneladas_no_mes"), pct.alias("queda_pct"))
-        .orderBy("posicao")
+        .orderBy("posicao", *mill)
     )
 
 
@@ -63,13 +64,16 @@ def orphans_by_month(events: DataFrame, dimension: DataFrame, key: str = "fornec
     keyed = events.where(~is_blank(F.col(key)))
     lost = orphans(keyed, dimension, key_norm(F.col(key)), key_norm(F.col(key)))
     whole = F.when(F.col(document[0]).isNotNull() & F.col(document[1]).isNotNull(), F.struct(*document)) if len(document) > 1 else F.col(document[0])
-    return (
-        lost.groupBy(month_of(F.col(day)).alias("mes_ocorrencia"))
-        .agg(
-            F.count("*").alias("registros_orfaos"), F.count_distinct(whole).alias("documentos_afetados"), F.count_distinct("_key").alias("fornecedores_inexistentes"),
-            F.sum(value).alias("valor_total_afetado"), F.slice(F.sort_array(F.collect_set(key)), 1, samples).alias("exemplos_fornecedor_id"),
-        ).orderBy("mes_ocorrencia")
+    lost = lost.withColumn("mes_ocorrencia", month_of(F.col(day)))
+    by_month = lost.groupBy("mes_ocorrencia").agg(
+        F.count("*").alias("registros_orfaos"), F.count_distinct(whole).alias("documentos_afetados"), F.count_distinct("_key").alias("fornecedores_inexistentes"), F.sum(value).alias("valor_total_afetado"),
     )
+    # The first few keys of a month: a top-k before anything is collected, so no month's keys meet in one row.
+    keys = lost.groupBy("mes_ocorrencia", key).agg(F.lit(1).alias("_one"))
+    few = keys.withColumn("_rn", F.row_number().over(Window.partitionBy("mes_ocorrencia").orderBy(key))).where(F.col("_rn") <= samples)
+    examples = few.groupBy("mes_ocorrencia").agg(F.sort_array(F.collect_list(key)).alias("exemplos_fornecedor_id"))
+    both = by_month.join(examples.withColumnRenamed("mes_ocorrencia", "_month"), F.col("mes_ocorrencia").eqNullSafe(F.col("_month")))
+    return both.select(*by_month.columns, "exemplos_fornecedor_id").orderBy("mes_ocorrencia")
 
 
 def missing_keys_by_month(events: DataFrame, key: str = "fornecedor_id", day: str = "data", value: str = "valor") -> DataFrame:

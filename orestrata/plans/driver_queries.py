@@ -18,6 +18,8 @@ from ..functions.scalars import alpha_pad, attribute_hash, key_norm, month_of, m
 from ..operators import access, aggregates, dedup, joins, quality, scd2
 from ..operators.versioned import VersionedTable
 from ..session import load
+from ..streaming import production as production_stream
+from ..streaming import sensors as sensors_stream
 from . import analytics, gold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,11 +55,12 @@ def known_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir()
+    """A new table's place below spark.checkpoint.dir, or the warehouse of a local session."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="orestrata-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{base}/table-{uuid.uuid4().hex}"
 
 
@@ -94,6 +97,20 @@ def monthly_drop_top3(spark, d):
     return analytics.monthly_drop(production(spark, d), F.lit("2001-07-15").cast("date"), rounded=False).withColumn("queda_pct", F.round("queda_pct", 4))
 
 
+@query("""
+WITH c AS (SELECT c_nationkey AS planta_id, c_custkey % 4 AS moinho_id FROM customer GROUP BY ALL),
+m AS (SELECT planta_id, moinho_id, round((50 - planta_id % 5) / 50.0 * 100, 4) AS pct, planta_id % 5 AS now FROM c WHERE planta_id % 5 < 50),
+r AS (SELECT *, CAST(rank() OVER (ORDER BY pct DESC) AS INTEGER) AS posicao FROM m)
+SELECT posicao, planta_id, moinho_id, pct AS queda_pct FROM r WHERE posicao <= 3""")
+def monthly_drop_ties(spark, d):
+    """Mills that fall from 50 to their plant's number modulo 5: equal drops share a place, and all of them come."""
+    mills = load(spark, d, "customer").select(F.col("c_nationkey").alias("planta_id"), (F.col("c_custkey") % 4).alias("moinho_id")).distinct()
+    before = mills.select("*", F.lit("2001-05-10").cast("date").alias("data"), F.lit(50.0).alias("toneladas_produzidas"))
+    after = mills.select("*", F.lit("2001-06-10").cast("date").alias("data"), (F.col("planta_id") % 5).cast("double").alias("toneladas_produzidas"))
+    out = analytics.monthly_drop(before.unionByName(after), F.lit("2001-07-15").cast("date"), months=1, rounded=False, ties=True)
+    return out.select("posicao", "planta_id", "moinho_id", F.round("queda_pct", 4).alias("queda_pct"))
+
+
 @query(f"""
 WITH {_ERP}, o AS (SELECT *, CASE WHEN l_linenumber % 2 = 1 THEN lpad(k, 10, '0') ELSE k END AS raw FROM e WHERE NOT missing AND CAST(k AS BIGINT) % 10 = 3 OR (NOT missing AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = CAST(k AS BIGINT))))
 SELECT CAST(date_trunc('month', data) AS DATE) AS mes_ocorrencia, count(*) AS registros_orfaos, count(DISTINCT (bukrs, belnr)) AS documentos_afetados,
@@ -218,6 +235,64 @@ def upsert_if_newer(spark, d):
     return table.read().drop("_ingestion_ts")
 
 
+@query("""
+SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey ELSE -1 END AS k, 'old' AS v FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 2 <> 0
+UNION ALL SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey ELSE -1 END, 'new' FROM orders WHERE o_orderkey % 2 = 0""")
+def upsert_null_keys(spark, d):
+    """Every fifth order has no key: in an upsert of the even ones such rows match nothing and stay, on both sides."""
+    o = load(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("k"), "o_orderkey")
+    table = VersionedTable(spark, place(spark), TableSpec("k bigint, v string"))
+    table.append(o.select("k", F.lit("old").alias("v")))
+    table.upsert(o.where("o_orderkey % 2 = 0").select("k", F.lit("new").alias("v")), ["k"], None)
+    return table.read().select(F.coalesce("k", F.lit(-1)).cast("bigint").alias("k"), "v")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey + 1000000000, 'P' FROM orders WHERE o_orderstatus = 'P'")
+def replaced_partition(spark, d):
+    """One partition replaced atomically, then all compacted: every file stays sorted by key."""
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    table = VersionedTable(spark, place(spark), TableSpec("o_orderkey bigint, o_orderstatus string", partition_by="o_orderstatus", sort_by=("o_orderkey",)))
+    table.append(o.where("o_orderkey % 2 = 0"))
+    table.append(o.where("o_orderkey % 2 <> 0"))
+    table.overwrite(o.where("o_orderstatus = 'P'").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000), only_parts=True)
+    table.compact()
+    return table.read()
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber = 1 AS no_mill, l_suppkey % 11 = 0 AS no_plant, l_quantity > 40 AS no_number FROM lineitem)
+SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN no_plant THEN 'planta_ausente' END, CASE WHEN no_mill THEN 'moinho_ausente' END, CASE WHEN no_number THEN 'toneladas_invalidas' END) AS motivos
+FROM r WHERE no_mill OR no_plant OR no_number""")
+def quarantine_rows(spark, d):
+    """Raw production rows through normalisation and rules to the quarantine, a replayed batch once."""
+    config = production_stream.Config("", "", "", "", "")
+    raw = load(spark, d, "lineitem").select(
+        F.when(F.col("l_linenumber") == 1, "  ").otherwise(F.col("l_suppkey").cast("string")).alias("moinho_id"), F.when(F.col("l_suppkey") % 11 != 0, "P").alias("id_planta"),
+        F.lit("2024-03-01T10:00:00Z").alias("data_producao"), F.when(F.col("l_quantity") > 40, "x").otherwise(" 1.5 ").alias("toneladas_produzidas"),
+        F.concat_ws("/", "l_orderkey", "l_linenumber").alias("_source_file"), F.lit("2024-03-02").cast("timestamp").alias("_ingestion_ts"),
+    )
+    table = VersionedTable(spark, place(spark), quality.QUARANTINE)
+    rows = quality.rejected(quality.classify(production_stream.normalise(raw, config), production_stream.rules()))
+    for _ in range(2):
+        quality.quarantine(table, rows, 7, "production")
+    key = F.split("arquivo_origem", "/")
+    return table.read().select(key[0].cast("bigint").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), F.array_join("motivos", ",").alias("motivos"))
+
+
+@query("SELECT event_id AS event_id, CAST(user_id AS VARCHAR) AS sensor_id, ts AS event_ts, CAST(ts AS DATE) AS event_date, CASE WHEN event_id % 3 <> 0 THEN value END AS vibracao FROM events WHERE event_id % 7 <> 0 AND event_id % 10 <> 0")
+def flatten_readings(spark, d):
+    """Nested readings made flat and typed: no sensor or no time is left out, a value that is no number becomes null."""
+    e = load(spark, d, "events")
+    sensor = F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string")))
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value").cast("string")).otherwise("x")
+    nested = e.select(
+        sensor.alias("sensor_id"), F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_id") % 10 != 0, F.col("ts")).alias("timestamp"),
+        F.struct(value.alias("temperatura"), value.alias("vibracao"), value.alias("consumo_eletrico")).alias("leitura"), F.col("ts").alias("_ingestion_ts"), F.lit("f").alias("_source_file"),
+    )
+    flat = sensors_stream.flatten(nested)
+    return flat.select(F.col("event_id").cast("bigint").alias("event_id"), "sensor_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "event_date", "vibracao")
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 = 0 THEN 'delete' ELSE 'insert' END AS _change FROM orders WHERE o_orderkey % 2 = 0 AND (o_orderkey % 4 = 0 OR o_orderkey % 3 = 0)
 UNION ALL SELECT o_orderkey, 'insert' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 = 0""")
@@ -370,13 +445,13 @@ def month_calendar(spark, d):
     return ends.select(months_between(month_of(F.col("a")), month_of(F.col("b"))).alias("mes"))
 
 
-@query("""SELECT r_regionkey, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS payload, sha256('{"r_name":"' || r_name || '"}|s') AS hash FROM region""")
+@query("""SELECT r_regionkey, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS payload, sha256('s;r_name=' || length(r_name) || ':' || r_name || ';') AS hash FROM region""")
 def json_payload(spark, d):
     r = load(spark, d, "region")
     return r.withColumn("_technical", F.lit(1)).select("r_regionkey", payload(["r_regionkey", "r_name", "_technical"]).alias("payload"), attribute_hash(["r_name"], "s").alias("hash"))
 
 
-@query("SELECT max(ts) AS newest, CAST(epoch(TIMESTAMP '2024-03-01 00:00:00' - max(ts)) AS BIGINT) AS lag_seconds, true AS stale FROM events")
+@query("SELECT max(ts) AS newest, CAST(epoch(TIMESTAMP '2024-03-01 00:00:00') - floor(epoch(max(ts))) AS BIGINT) AS lag_seconds, true AS stale FROM events")
 def freshness(spark, d):
-    out = quality.freshness(load(spark, d, "events").withColumn("ts", F.date_trunc("second", "ts")), "ts", F.lit("2024-03-01 00:00:00").cast("timestamp"), 3600)
+    out = quality.freshness(load(spark, d, "events"), "ts", F.lit("2024-03-01 00:00:00").cast("timestamp"), 3600)
     return out.withColumn("newest", F.col("newest").cast("timestamp_ntz"))

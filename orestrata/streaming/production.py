@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.contract import TableSpec, require_columns
-from ..functions.scalars import blank_to_null, col_or_null, payload, to_utc, zone_of
+from ..functions.scalars import blank_to_null, first_filled, payload, to_utc, zone_of
 from ..operators import quality
 from ..operators.dedup import keep_latest
 from ..operators.quality import QUARANTINE, Rule
@@ -46,7 +46,7 @@ class Config:
 def normalise(df: DataFrame, cfg: Config) -> DataFrame:
     """Canonical columns from raw strings: one plant column from either name, UTC time, decimal tonnes, JSON payload."""
     require_columns(df, ["moinho_id", "data_producao", "toneladas_produzidas"], [["planta_id", "id_planta"]])
-    plant = F.coalesce(blank_to_null(col_or_null(df, "planta_id")), blank_to_null(col_or_null(df, "id_planta")))
+    plant = first_filled(df, "planta_id", "id_planta")
     raw = blank_to_null(F.col("toneladas_produzidas"))
     return df.select(
         plant.alias("planta_id"), blank_to_null(F.col("moinho_id")).alias("moinho_id"), to_utc(F.col("data_producao"), zone_of(plant, cfg.zone_by_plant, cfg.default_zone)).alias("data_producao_utc"),

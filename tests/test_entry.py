@@ -20,7 +20,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
             return str(x)
         if isinstance(x, (int, float, Decimal)) or hasattr(x, "dtype"):
             return str(x) if str(getattr(x, "dtype", "")) == "bool" else repr(round(float(x), 6))
-        return str(x)[:19].removesuffix(" 00:00:00")
+        return str(x).removesuffix("+00:00").removesuffix(" 00:00:00")
 
     return sorted(tuple(one(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
 

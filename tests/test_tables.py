@@ -55,6 +55,31 @@ def test_upsert_only_newer_and_only_touched_partitions(spark, table):
     assert (2, "Z") in content(table)
 
 
+def test_upsert_keeps_null_keys_and_replaces_repeats(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "n"), TableSpec("k int, v int"))
+    df = lambda *r: spark.createDataFrame(r, "k int, v int")
+    table.append(df((None, 1), (None, 2), (1, 1), (2, 2), (2, 3), (3, 3), (3, 4)))
+    table.upsert(df((None, 9), (1, 5), (2, 1)), ["k"], "v")
+    assert sorted(map(tuple, table.read().collect()), key=str) == sorted([(None, 1), (None, 2), (None, 9), (1, 5), (2, 2), (2, 3), (3, 3), (3, 4)], key=str)
+    table.upsert(df((2, 0), (4, 0)), ["k"], None)
+    assert sorted(r.v for r in table.read().where("k = 2").collect()) == [0] and table.read().where("k = 4").count() == 1
+
+
+def test_files_are_sorted(spark, tmp_path):
+    spec = TableSpec("k int, p string", partition_by="p", sort_by=("k",))
+    table = VersionedTable(spark, str(tmp_path / "s"), spec)
+    table.append(spark.range(2000).selectExpr("cast(id * 7919 % 2003 AS int) AS k", "cast(id % 2 AS string) AS p").repartition(2))
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = glob.glob(f"{tmp_path}/s/data/*/*/*.parquet")
+    assert files
+    for f in files:
+        keys = pq.read_table(f, columns=["k"], partitioning=None).column("k").to_pylist()
+        assert keys == sorted(keys)
+
+
 def test_insert_only(spark, table):
     table.append(rows(spark, (1, "a", 0, 1)))
     for _ in range(2):
