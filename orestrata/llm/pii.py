@@ -3,7 +3,7 @@
 Base spans are found in the source text itself. Transducers then rewrite the text: homoglyphs and full-width forms to
 ASCII, invisible characters to nothing, spelled digits to digits, spelled or bracketed at and dot to @ and '.'. Each
 keeps where every output character came from; identifiers found in the rewritten text are mapped back to source spans
-and added where they cover something rewritten and touch no base span.
+and added where they cover something rewritten and reach beyond what a base span covers (which may lie within them).
 
 Matching is linear in the text: no pattern can be retried from every character of a long run.
 
@@ -18,6 +18,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,7 +109,9 @@ _LOOK_ALIKE = dict(
 # Other signs that stand for @ . + - and for nothing.
 _SIGNS = {"﹫": "@", "。": ".", "․": ".", "・": ".", "﹒": ".", "﹢": "+", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "\xa0": " ", " ": " ", " ": " "}
 _NOTHING = "​‌‍⁠﻿\xad"
-_REWRITTEN = re.compile("[" + "".join(_LOOK_ALIKE) + "".join(_SIGNS) + _NOTHING + "！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]+")
+#: Every digit of other scripts, raised and lowered ones too, by its property.
+_OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.digit(c, None) is not None)
+_REWRITTEN = re.compile("[" + "".join(_LOOK_ALIKE) + "".join(_SIGNS) + _NOTHING + _OTHER_DIGITS + "\u207a\u208a！-～\U0001d400-\U0001d7ff]+")
 # The digits 0 to 9 in English, German, French and Spanish.
 _DIGIT_WORDS = {
     word: str(d)
@@ -127,8 +130,8 @@ _SPELLED_PART = re.compile(rf"(?i)plus[ -]+|[ ]+(?:dot|point|punkt|punto)[ ]+|{_
 _TLD = frozenset("com org net edu gov io info biz de fr es uk eu us co me ch at it nl br mx ar test example".split())
 # Words that are no host's first label after a bare at.
 _ARTICLES = frozenset("the a an this that my our your his her their its".split())
-_BRACKET_AT = re.compile(r"(?i)[ ]?[(\[{<][ ]?(?:at|@|arroba)[ ]?[)\]}>][ ]?")
-_BRACKET_DOT = re.compile(r"(?i)[ ]?[(\[{<][ ]?(?:dot|punto|punkt|point|\.)[ ]?[)\]}>][ ]?")
+_BRACKET_AT = re.compile(r"(?i)[ ]?[(\[{<][ ]?(?:at|@|arroba)[ ]?[)\]}>][ ]?|&#0{0,4}64;|&commat;|&#x0{0,4}40;")
+_BRACKET_DOT = re.compile(r"(?i)[ ]?[(\[{<][ ]?(?:dot|punto|punkt|point|\.)[ ]?[)\]}>][ ]?|&#0{0,4}46;|&period;")
 _BARE_AT = re.compile(r"(?i)(?:(?<! )[ ]+|_|-)(?:at|arroba)(?:[ ]+|_|-)")
 _DOT = r"(?:[ ]+dot[ ]+|_dot_|-dot-|[ ]?[(\[{<][ ]?dot[ ]?[)\]}>][ ]?|\.)"
 _SPELLED_HOST = re.compile(rf"(?i)[a-z0-9-]+(?:{_DOT}[a-z0-9]+(?:-[a-z0-9]+)*)+")
@@ -158,6 +161,7 @@ class Rewritten:
         parts.append(text[done:])
         self.text = "".join(parts)
         self.starts = [a[0] for a in self.at]
+        self.ends = [max(end, start + 1) for start, end, _ in edits]
 
     def _place(self, i: int, end: bool) -> int:
         """Where character i starts, or ends, in the source."""
@@ -178,8 +182,9 @@ class Rewritten:
         return self.source.back(out) if self.source else out
 
     def touched(self, span: Span) -> bool:
-        """Whether an edit lies in the source span."""
-        return any(start < span[1] and span[0] < max(end, start + 1) for start, end, _ in self.edits)
+        """Whether an edit lies in the source span: edits are apart and in order."""
+        k = bisect_right(self.ends, span[0])
+        return k < len(self.edits) and self.edits[k][0] < span[1]
 
 
 def _plain(c: str) -> str:
@@ -207,6 +212,7 @@ def digit_edits(text: str) -> list[Edit]:
             elif part.startswith("plus"):
                 edits.append((*m.span(), "+"))
             elif part.strip(" ,-"):
+                spelled += part != "."
                 edits += [(*m.span(), ".")] if part != "." else []
             else:
                 edits.append((*m.span(), ""))
@@ -253,6 +259,7 @@ def added(text: str, known: dict[str, list[Span]]) -> dict[str, list[Span]]:
     if not (first.edits or second.edits or third.edits):
         return out
     taken = sorted(s for spans in known.values() for s in spans)
+    begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for kind, find in FINDERS.items():
         for span in find(third.text):
             via2 = (third._place(span[0], False), third._place(span[1] - 1, True))
@@ -260,7 +267,8 @@ def added(text: str, known: dict[str, list[Span]]) -> dict[str, list[Span]]:
             source = first.back(via1)
             if not (third.touched(via2) or second.touched(via1) or first.touched(source)):
                 continue
-            if not any(a < source[1] and source[0] < b for a, b in taken):
+            k = bisect_right(begins, source[0]) - 1
+            if k < 0 or reach[k] < source[1]:
                 out[kind].append(source)
     return out
 

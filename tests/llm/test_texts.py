@@ -216,6 +216,33 @@ def test_pii(edge, empty):
     assert pii.find_pii(edge).count() == edge.count() and pii.find_pii(empty).count() == 0
 
 
+@pytest.mark.parametrize(("text", "kind", "covered"), [
+    ("mail us\u0435r@example.com now", "email", "us\u0435r@example.com"),
+    ("mail john.sm\u0456th@corp.example now", "email", "john.sm\u0456th@corp.example"),
+    ("host 1\uff127.0.0.1 up", "ip", "1\uff127.0.0.1"),
+    ("host 192 dot 168 dot 1 dot 10 up", "ip", "192 dot 168 dot 1 dot 10"),
+    ("mail jo&#64;example.com now", "email", "jo&#64;example.com"),
+    ("call \u207a1 555 123 4567 now", "phone", "\u207a1 555 123 4567"),
+    ("call +\u09e7 \u09eb\u09eb\u09eb 123 4567 now", "phone", "+\u09e7 \u09eb\u09eb\u09eb 123 4567"),
+])
+def test_pii_disguises_beside_base_spans(text, kind, covered):
+    known = pii.base(text)
+    assert (text.index(covered), text.index(covered) + len(covered)) in pii.added(text, known)[kind]
+
+
+def test_pii_many_disguises_are_linear():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"us\u0435r{i}@example.com and b{i}@example.org" for i in range(n))
+        start = time.process_time()
+        assert len(pii.added(text, pii.base(text))["email"]) == n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 30 * max(seconds(1000), 0.01)
+
+
 # --- lattice
 
 
