@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/orestrata-{uuid.uuid4().hex}"
 
 
+#: Tables of a Python worker that hold nothing once its rows are done, named by the modules that fill them.
+CACHES: list[dict] = []
+
+
+def tidy() -> None:
+    """Gives back what a worker holds between two tasks: caches, Arrow's free memory, the allocator's free pages. Workers wait
+    for a minute after a task, beside the executor's heap."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in glibc alone
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function of mapInArrow, with tidy() after the last of a task's rows."""
+
+    def rows(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return rows
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

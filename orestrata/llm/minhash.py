@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE, parted, words, written
+from .common import CACHES, WIDE, lean, parted, words, written
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -39,7 +39,7 @@ FREQUENT = 1_000_000
 _U64, _U32 = np.uint64, np.uint32
 _MIX = tuple(_U64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Words whose hashes a worker keeps.
-_KEEP = 500_000
+_KEEP = 200_000
 
 
 class _Hashes(dict):
@@ -53,6 +53,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+CACHES.append(_hashes)
 
 
 def shingles(tokens: list[bytes], n: int = WORDS) -> np.ndarray:
@@ -118,7 +119,7 @@ def features(docs: DataFrame, n: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, buckets array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, buckets array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -130,7 +131,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "ids"])
 
     _, named = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.withColumnRenamed("id", "doc_id"))
-    return named.withColumnRenamed("doc_id", "id").mapInArrow(run, "id long, ids binary")
+    return named.withColumnRenamed("doc_id", "id").mapInArrow(lean(run), "id long, ids binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -155,7 +156,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
         return own.select(F.col("doc_id").alias(side), F.col("ids").alias(f"ids_{side}"))
 
     both = pairs.join(named("a"), "a").join(named("b"), "b")
-    return both.select("a", "b", "ids_a", "ids_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ids_a", "ids_b").mapInArrow(lean(run), "a long, b long")
 
 
 class _Links:
@@ -261,7 +262,7 @@ def _within(rows: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
         if held:
             yield result([held[1:]])
 
-    met = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    met = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(lean(run), "a long, b long")
     return met.distinct()
 
 
@@ -276,7 +277,7 @@ def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
                 part = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("ids").slice(at, 64)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part))], names=["s"])
 
-    counts = written(sets.select("ids").mapInArrow(entries, "s long").groupBy("s").agg(F.count("*").alias("c")))
+    counts = written(sets.select("ids").mapInArrow(lean(entries), "s long").groupBy("s").agg(F.count("*").alias("c")))
     least = max(1, (counts.agg(F.sum("c")).first()[0] or 0) // FREQUENT)
     often = counts.where(F.col("c") > least).orderBy("c", "s").select("s").toArrow().column("s").to_numpy()  # at most FREQUENT
     by_value = np.argsort(often).astype(np.int32)
@@ -298,7 +299,7 @@ def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], names=["bucket", "id", "pos"])
 
-    return sets.select("id", "ids").mapInArrow(run, "bucket long, id long, pos long")
+    return sets.select("id", "ids").mapInArrow(lean(run), "bucket long, id long, pos long")
 
 
 def links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar: int = SIMILAR) -> DataFrame:

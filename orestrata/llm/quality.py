@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE, crc_mod, parted, written
+from .common import WIDE, crc_mod, lean, parted, written
 
 #: Part of a class covariance taken from the pooled one, and part of the result taken from its mean variance.
 TO_POOLED, TO_IDENTITY = 0.3, 0.05
@@ -75,7 +75,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), x], names=["doc_id", "text_key", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, x array<double>")
+    return rows.mapInArrow(lean(run), "doc_id long, text_key long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ def _scored(docs: DataFrame, labels: DataFrame, mod: int | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "text_key", "held_out", "score", "predicted"])
 
     held_out = F.coalesce(held, F.lit(False)).alias("held_out")
-    return x.select("doc_id", "text_key", held_out, "x").mapInArrow(run, "doc_id long, text_key long, held_out boolean, score double, predicted int")
+    return x.select("doc_id", "text_key", held_out, "x").mapInArrow(lean(run), "doc_id long, text_key long, held_out boolean, score double, predicted int")
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
