@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: A text of more characters is cut; also the least distance between cuts.
 PIECE = 20_000
 #: Rows whose ids a worker holds as Python integers at once.
@@ -98,6 +100,26 @@ def decode_documents(rows: DataFrame, path: str, pattern: str, column: str = "id
     return rows.mapInArrow(run, schema)
 
 
+def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The columns of docs but text; ids array<int>, n_tokens long, and round_trip: whether the decoded ids are the text's very
+    bytes. One pass: neither texts nor decoded bytes leave the worker that made the ids. Columns of docs so named are replaced."""
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    docs = docs.drop(*[f.name for f in made])
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != "text"], *made])
+
+    def run(batches):
+        encoder = encoding(path, pattern)
+        for b in _parts(batches):
+            texts = b.column("text").to_pylist()
+            ids = [encode(t, encoder) for t in texts]
+            same = [encoder.decode_bytes(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
+            kept = b.drop_columns(["text"])
+            new = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=schema.names)
+
+    return docs.mapInArrow(lean(run), schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 of encode and decode_bytes, in one pass."""
 

@@ -37,6 +37,18 @@ def test_pieces_encode_as_the_whole():
         assert "".join(byte_bpe.pieces(text, 5)) == text
 
 
+def test_ids_in_one_pass(edge, empty):
+    enc = byte_bpe.encoding(RANKS, P.PATTERN)
+    clash = edge.withColumn("n_tokens", F.lit("x"))
+    got = byte_bpe.with_ids(clash, RANKS, P.PATTERN)
+    made = ["ids", "n_tokens", "round_trip"]
+    assert got.columns == [c for c in edge.columns if c not in ("text", *made)] + made
+    want = sorted(tuple(enc.encode_ordinary(r.text or "")) for r in edge.collect())
+    rows = got.collect()
+    assert sorted(tuple(r.ids) for r in rows) == want and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
+    assert byte_bpe.with_ids(empty, RANKS, P.PATTERN).count() == 0
+
+
 def test_byte_bpe(edge, empty):
     enc = byte_bpe.encoding(RANKS, P.PATTERN)
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.round_trip(edge, RANKS, P.PATTERN).collect()}
