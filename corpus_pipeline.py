@@ -7,7 +7,6 @@ of documents; the mix repeats a document that it takes twice.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orestrata.llm import byte_bpe, exact_dedup, minhash, mixing, quality
 from orestrata.llm.common import table, written
@@ -38,9 +37,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, pattern), path, pattern)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return rows.select(*[c for c in docs.columns if c != "text"], "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return byte_bpe.with_ids(docs, path, pattern)
 
 
 STAGES = [
