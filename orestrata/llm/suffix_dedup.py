@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE, written
+from .common import WIDE, lean, written
 
 LENGTH, GRAM = 100, 32
 #: Strings a scan handles at once; bytes of pieces that a shard holds, and that are merged at once.
@@ -300,7 +300,7 @@ def _anchor_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             h, c = np.unique(anchors_of([_bytes(t) for t in b.column("text")], length, gram)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _bytes(value: pa.StringScalar) -> np.ndarray:
@@ -332,7 +332,7 @@ def _pieces(docs: DataFrame, length: int, gram: int, anchor_bits, place_bits=Non
                 arrays = [pa.array(c) for c in columns] + ([pa.array(raw, pa.binary())] if places is not None else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, "h long, piece long, check long, doc long, start long, n int" + (", text binary" if place_bits else ""))
+    return docs.mapInArrow(lean(run), "h long, piece long, check long, doc long, start long, n int" + (", text binary" if place_bits else ""))
 
 
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
@@ -364,7 +364,7 @@ def _compared(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield result()
 
-    return dealt.select("h", "doc", "start", "n", "text").mapInArrow(run, "doc long, start long, end long")
+    return dealt.select("h", "doc", "start", "n", "text").mapInArrow(lean(run), "doc long, start long, end long")
 
 
 def _aggregated(pieces: DataFrame, length: int) -> DataFrame:
@@ -378,7 +378,7 @@ def _aggregated(pieces: DataFrame, length: int) -> DataFrame:
                 x, y = prefix.all_of(length)[:n], prefix.all_of(half)[:n] * _U(_ODD) ^ prefix.all_of(rest)[half : half + n]
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.full(n, doc)), pa.array(start + np.arange(n))], names=["x", "y", "doc", "at"])
 
-    strings = written(pieces.select("doc", "start", "n", "text").mapInArrow(run, "x long, y long, doc long, at long"))
+    strings = written(pieces.select("doc", "start", "n", "text").mapInArrow(lean(run), "x long, y long, doc long, at long"))
     first = strings.groupBy("x", "y").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = strings.join(first, ["x", "y"]).where(F.struct("doc", "at") > F.col("first"))
     return later.select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
@@ -432,7 +432,7 @@ def _apply(rows: DataFrame, text: bool) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.binary() if text else pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if text else "kept_sha256"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "spans").mapInArrow(lean(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bool = False, hot: int = HOT) -> DataFrame:
