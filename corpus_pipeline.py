@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orestrata.llm import byte_bpe, exact_dedup, minhash, mixing, quality
-from orestrata.llm.common import table, written
+from orestrata.llm.common import WIDE, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents but text, and ids, n_tokens and whether the ids decode to the text's very bytes."""
+    """The columns of documents but text, and ids, n_tokens and whether the ids decode to the text's very bytes. Written here, as
+    a caller's own write would hand whole texts to the workers 10,000 rows at once."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.with_ids(docs, path, pattern)
+    return written(byte_bpe.with_ids(docs, path, pattern), WIDE)
 
 
 STAGES = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,9 +81,32 @@ def written(df: DataFrame, batch: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
+    if (drafts := _drafts.get()) is not None:
+        drafts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that written() filled since the innermost settled() began.
+_drafts: ContextVar[list[str] | None] = ContextVar("drafts", default=None)
+
+
+def settled(make: Callable[[], DataFrame], batch: int | None = None) -> DataFrame:
+    """make() written, like written(); what was written on the way is deleted then, as nothing reads it any more. make must
+    hand none of it to anything but its result."""
+    token = _drafts.set([])
+    try:
+        out = written(make(), batch)
+        *drafts, path = _drafts.get()
+    finally:
+        _drafts.reset(token)
+    if (outer := _drafts.get()) is not None:
+        outer.append(path)
+    spark = out.sparkSession
+    for draft in map(spark._jvm.org.apache.hadoop.fs.Path, drafts):
+        draft.getFileSystem(spark._jsc.hadoopConfiguration()).delete(draft, True)
+    return out
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """df to be broadcast if it has at most so many rows (counted), else as it is. For narrow rows only."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

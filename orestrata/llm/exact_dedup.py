@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parted, shared_dir, written
+from .common import parted, settled, shared_dir, written
 
 #: Characters deleted before texts are compared: space and 0x09 to 0x0D.
 _DELETED = " \t\n\x0b\x0c\r"
@@ -117,7 +117,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None =
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, all their columns; of rows that repeat a doc_id and text, one. Texts of documents of which
     every row stays are filtered where they lie; the others are matched by doc_id and digest."""
-    marks = written(dedup(docs, index).select("doc_id", "kept", F.col("text_sha256").alias("__digest")))
+    marks = settled(lambda: dedup(docs, index).select("doc_id", "kept", F.col("text_sha256").alias("__digest")))
     by_row = marks.groupBy("doc_id", "__digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     touched = written(by_row.where("NOT kept OR n > 1"))
     clean, others = parted(docs, touched.select("doc_id").distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, WIDE, lean, parted, words, written
+from .common import CACHES, WIDE, lean, parted, settled, words, written
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -277,7 +277,7 @@ def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
                 part = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("ids").slice(at, 64)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part))], names=["s"])
 
-    counts = written(sets.select("ids").mapInArrow(lean(entries), "s long").groupBy("s").agg(F.count("*").alias("c")))
+    counts = written(sets.select("ids").mapInArrow(lean(entries), "s long").groupBy("s").agg(F.count("*").alias("c")), WIDE)
     least = max(1, (counts.agg(F.sum("c")).first()[0] or 0) // FREQUENT)
     often = counts.where(F.col("c") > least).orderBy("c", "s").select("s").toArrow().column("s").to_numpy()  # at most FREQUENT
     by_value = np.argsort(often).astype(np.int32)
@@ -314,7 +314,7 @@ def links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
         # share an id of their prefixes: those are their new buckets.
         left = pool.groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"))
         prefixes = _prefixes(written(state.sets.join(left.select("id"), "id", "left_semi")), similar)
-        state.confirm(written(_within(written(state.split(prefixes.join(left, "id"))), similar)))
+        state.confirm(written(_within(written(state.split(prefixes.join(left, "id")), WIDE), similar)))
     return state.found
 
 
@@ -337,6 +337,6 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similar: int = SIMILAR) ->
 
 def keep_one(docs: DataFrame, n: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """The documents that stay, one of each component, all their columns; of rows that repeat a doc_id, as many as there are."""
-    gone = written(near_duplicates(docs, n, similar).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
+    gone = settled(lambda: near_duplicates(docs, n, similar).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
     clean, others = parted(docs, gone.select(F.col("__id").alias("doc_id")))
     return clean.unionByName(others.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti"))

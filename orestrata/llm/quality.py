@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE, crc_mod, lean, parted, written
+from .common import WIDE, crc_mod, lean, parted, settled, written
 
 #: Part of a class covariance taken from the pooled one, and part of the result taken from its mean variance.
 TO_POOLED, TO_IDENTITY = 0.3, 0.05
@@ -172,7 +172,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, mod: int | None = 5) -> DataFrame:
     """The documents that score() predicts as 1, all their columns. Texts are read twice and not shuffled, but for those
     whose doc_id may be a rejected one: these are matched by doc_id and the hash of their text."""
-    rejected = written(_scored(docs, labels, mod).where("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    rejected = settled(lambda: _scored(docs, labels, mod).where("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
     clean, others = parted(docs, rejected.select(F.col("__id").alias("doc_id")).distinct())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     return clean.unionByName(others.join(rejected, same, "left_anti"))

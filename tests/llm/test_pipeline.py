@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from samples import edge_rows
-from orestrata.llm import mixing, quality
+from orestrata.llm import byte_bpe, minhash, mixing, quality
 from test_exact_and_near import exact, near
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -56,3 +58,29 @@ def test_edges(spark, tmp_path, edge):
     assert pipeline.run(spark, str(tmp_path)).count() > 0 and len(edge_rows()) == edge.count()
     for _, f in pipeline.STAGES:
         assert f(spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
+def test_ids_are_made_from_few_texts_at_once(spark, sf_dir, monkeypatch):
+    """A worker of the last stage never gets more than WIDE whole texts, whatever the caller then does with the result."""
+
+    def parts(batches):
+        for b in batches:
+            assert b.num_rows <= 1000
+            yield b
+
+    monkeypatch.setattr(byte_bpe, "_parts", parts)
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    assert pipeline.token_ids(spark, docs, sf_dir).where("round_trip").count() == 2500
+
+
+def test_a_stage_leaves_no_drafts(spark, docs):
+    """What a stage writes on its way is gone when its result stands; the result can still be read."""
+    from orestrata.llm import common
+
+    one = common.settled(lambda: common.written(common.written(docs.select("doc_id"))).union(common.settled(lambda: common.written(docs.select("doc_id")))))
+    assert one.count() == 2 * docs.count()
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    folders = lambda: set(Path(base.removeprefix("file:")).glob("orestrata-*"))
+    before = folders()
+    left = minhash.keep_one(docs)
+    assert len(folders() - before) == 1 and left.count() == minhash.near_duplicates(docs).where("kept").count()
