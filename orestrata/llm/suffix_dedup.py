@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE, lean, written
+from .common import CACHES, WIDE, lean, written
 
 LENGTH, GRAM = 100, 32
 #: Strings a scan handles at once; bytes of pieces that a shard holds, and that are merged at once.
@@ -44,6 +44,7 @@ _PLACE = _U((1 << 20) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: list[np.ndarray] = []
+CACHES.append(_powers)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,9 +190,16 @@ def _keys(places: DataFrame) -> DataFrame:
 
 
 def _ranks(symbols: np.ndarray) -> np.ndarray:
-    """Dense numbers in the symbols' order, from 1; 0 for 0."""
-    known, out = np.unique(symbols, return_inverse=True)
-    return out.reshape(symbols.shape) + (len(known) > 0 and known[0] != 0)
+    """Dense 32-bit numbers in the symbols' order, from 1; 0 for 0."""
+    order = np.argsort(symbols)
+    known = symbols[order]
+    fresh = np.empty(len(known), bool)
+    fresh[:1] = known[:1] != 0
+    np.not_equal(known[1:], known[:-1], out=fresh[1:])
+    del known
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(fresh, dtype=np.int32)
+    return out
 
 
 def shard_transform(symbols: np.ndarray, stride: int, offset: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +214,7 @@ def shard_transform(symbols: np.ndarray, stride: int, offset: np.ndarray, size:
         out[at] = of[at + places]
         return out
 
-    pairs = _ranks((symbols << 32) | ahead(symbols, stride))
+    pairs = _ranks((symbols << 32) | ahead(symbols, stride)).astype(np.int64)
     order = np.argsort((pairs << 32) | ahead(pairs, 2 * stride))
     return order, np.where(offset >= stride, symbols[np.maximum(np.arange(len(symbols)) - stride, 0)], 0)[order]
 
@@ -215,17 +223,20 @@ def merge(transforms: list[np.ndarray], depth: int = 4) -> tuple[np.ndarray, np.
     """Refines the interleave of the shards' transforms depth times. Returns the shard of each entry of the merged order,
     the entry's interval (entries in one interval share depth symbols) and the common symbols with the entry before."""
     shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
-    place = np.arange(len(shard))
     interval = np.zeros(len(shard), np.int32)
     common = np.full(len(shard), depth, np.int8)
     for k in range(depth):
-        symbols = np.empty(len(shard), np.int64)
+        keyed = np.empty(len(shard), np.int64)  # a symbol over its place
         for s, t in enumerate(transforms):
-            symbols[shard == s] = t
-        keyed = np.sort((symbols << 32) | place)  # symbols in their order, equal ones as they stand: no suffix is compared
-        order, symbols = keyed & 0xFFFFFFFF, keyed >> 32
+            keyed[shard == s] = t
+        keyed <<= 32
+        keyed |= np.arange(len(shard))
+        keyed.sort()  # symbols in their order, equal ones as they stand: no suffix is compared
+        order, symbols = keyed.astype(np.uint32), (keyed >> 32).astype(np.int32)
+        del keyed
         apart = np.ones(len(order), bool)
-        apart[1:] = (symbols[1:] != symbols[:-1]) | (np.diff(interval[order]) != 0) | (symbols[1:] == 0)
+        interval = interval[order]
+        apart[1:] = (symbols[1:] != symbols[:-1]) | (interval[1:] != interval[:-1]) | (symbols[1:] == 0)
         shard = shard[order]
         interval = np.cumsum(apart, dtype=np.int32)
         common[apart & (common == depth)] = k  # places of boundaries stay boundaries
@@ -234,28 +245,32 @@ def merge(transforms: list[np.ndarray], depth: int = 4) -> tuple[np.ndarray, np.
 
 def later_starts(pieces: list[bytes], docs: np.ndarray, firsts: np.ndarray, counts: np.ndarray, length: int = LENGTH, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """Piece and start (within it) of each string that some other place, earlier in the order of (document, start), has
-    too. Pieces are given as bytes, document, first start and number of starts. What the merge finds equal is compared
-    byte by byte with the earliest of its interval."""
+    too. Pieces are given as bytes (under 2 GB in all), document, first start and number of starts. What the merge finds
+    equal is compared byte by byte with the earliest of its interval. Places are 32-bit: 60 to 80 bytes of memory a byte."""
     stride = length // 4
     sizes = np.array([len(p) for p in pieces], np.int64)
     data = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    offset, size = np.arange(len(data)) - starts[piece], sizes[piece]
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
+    offset, size = np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[piece], sizes.astype(np.int32)[piece]
     symbols = np.zeros(len(data), _U)
-    full = np.flatnonzero(offset + stride <= size)
-    symbols[full] = Prefix(data).all_of(stride)[full] | _U(1)  # 0 stays free
+    if len(data) >= stride:
+        symbols[: len(data) - stride + 1] = Prefix(data).all_of(stride)
+    symbols |= _U(1)
+    symbols[offset + stride > size] = 0  # kept free by the line before
     ranks = _ranks(symbols)
+    del symbols
     # A shard is a run of whole pieces; each is sorted alone.
     cuts = [0, *(np.flatnonzero(np.diff(starts // shard)) + 1).tolist(), len(pieces)]
     bounds = [int(starts[c]) if c < len(pieces) else len(data) for c in cuts]
     transforms, at = [], []
     for x, y in zip(bounds, bounds[1:], strict=False):
         order, transform = shard_transform(ranks[x:y], stride, offset[x:y], size[x:y])
-        transforms.append(transform)
-        at.append(order + x)
+        transforms.append(transform.astype(np.int32))
+        at.append((order + x).astype(np.int32))
+    del ranks, size
     which, interval, common = merge(transforms)
-    merged = np.empty(len(which), np.int64)
+    merged = np.empty(len(which), np.int32)
     for s, own in enumerate(at):
         merged[which == s] = own
     # Repeated intervals: entries that share all symbols with the entry before or after, and are starts.
@@ -417,26 +432,22 @@ def _cut(text: np.ndarray, starts: list[int], ends: list[int]) -> tuple[int, int
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _apply(rows: DataFrame, text: bool) -> DataFrame:
-    """rows: doc_id, text, spans (array of start, end; null: none)."""
-    schema = _RESULT if text else _RESULT.replace("kept binary", "kept_sha256 string")
-
-    def run(batches):
-        for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for doc_id, value, spans in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist(), strict=True):
-                data = _bytes(value)
-                removed, runs, kept = _cut(data, [s["start"] for s in spans], [s["end"] for s in spans]) if spans else (0, 0, data.tobytes())
-                for c, v in zip(cols, (doc_id, len(data), removed, runs, kept if text else hashlib.sha256(kept).hexdigest()), strict=True):
-                    c.append(v)
-            kinds = [pa.int64()] * 4 + [pa.binary() if text else pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if text else "kept_sha256"])
-
-    return rows.select("doc_id", "text", "spans").mapInArrow(lean(run), schema)
+def _result(b: pa.RecordBatch, text: bool) -> pa.RecordBatch:
+    """b: doc_id, text, and spans (array of start, end; null: none) where there are any."""
+    cols: list[list] = [[] for _ in range(5)]
+    all_spans = b.column("spans").to_pylist() if "spans" in b.schema.names else [None] * b.num_rows
+    for doc_id, value, spans in zip(b.column("doc_id").to_pylist(), b.column("text"), all_spans, strict=True):
+        data = _bytes(value)
+        removed, runs, kept = _cut(data, [s["start"] for s in spans], [s["end"] for s in spans]) if spans else (0, 0, data.tobytes())
+        for c, v in zip(cols, (doc_id, len(data), removed, runs, kept if text else hashlib.sha256(kept).hexdigest()), strict=True):
+            c.append(v)
+    kinds = [pa.int64()] * 4 + [pa.binary() if text else pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if text else "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: bool = False, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes (with text: kept, the bytes)."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes (with text: kept, the bytes). The
+    result is written here, so that workers get WIDE texts at once whatever the caller does with it."""
     if length % 4 or gram >= length:
         raise ValueError("length must be a multiple of 4, and gram shorter")
     spark = docs.sparkSession
@@ -444,14 +455,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     spans = written(repeated_spans(rows.select("doc", "text"), length, gram, hot))
     by_doc = written(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")))  # a document's own spans
     bits = spark.sparkContext.broadcast(Bits.build(_keys(by_doc.select("doc", F.lit(0).cast("long").alias("start"))), F.col("key")))
+    schema = _RESULT if text else _RESULT.replace("kept binary", "kept_sha256 string")
 
-    def marked(batches):
+    def marked(b: pa.RecordBatch) -> np.ndarray:
+        doc = b.column("doc").to_numpy()
+        return bits.value.has(_key(doc, np.zeros(len(doc))))
+
+    def whole(batches):
+        for b in batches:
+            yield _result(b.filter(pa.array(~marked(b))), text)
+
+    def hit(batches):
         for b in batches:
-            doc = b.column("doc").to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits.value.has(_key(doc, np.zeros(len(doc)))))], names=[*b.schema.names, "hit"])
-
-    # Only texts that may lose something travel to their spans.
-    ids = rows.mapInArrow(marked, "doc_id long, doc long, text string, hit boolean")
-    whole = ids.where("NOT hit").withColumn("spans", F.lit(None).cast(by_doc.schema["spans"].dataType))
-    cut = ids.where("hit").join(by_doc, "doc", "left")
-    return _apply(whole, text).unionByName(_apply(cut, text))
+            yield b.filter(pa.array(marked(b)))
+
+    def cut(batches):
+        for b in batches:
+            yield _result(b, text)
+
+    # Only texts that may lose something travel to their spans; all others are done where they lie, by one worker a task.
+    moved = rows.mapInArrow(lean(hit), "doc_id long, doc long, text string").join(by_doc, "doc", "left")
+    done = moved.select("doc_id", "text", "spans").mapInArrow(lean(cut), schema)
+    return written(rows.mapInArrow(lean(whole), schema).unionByName(done), WIDE)

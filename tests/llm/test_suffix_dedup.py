@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -109,3 +110,40 @@ def test_anchors_depend_on_the_string_alone(monkeypatch):
             assert by_piece.setdefault(p, data[b : b + c + 11].tobytes()) == data[b : b + c + 11].tobytes()
             for k in range(b, b + c):
                 assert by_string.setdefault(data[k : k + 12].tobytes(), a) == a
+
+
+def test_memory_of_a_group_of_pieces():
+    """What later_starts holds at once stays under 100 bytes for each byte of its pieces, and is the brute-force result."""
+    r = random.Random(11)
+    base = [bytes(r.choice(b"abcdefgh ") for _ in range(168)) for _ in range(40)]
+    pieces = []
+    while sum(map(len, pieces)) < 400_000:
+        n = r.randint(1, 69)
+        start = r.randint(0, 69 - n)
+        piece = bytearray(r.choice(base)[start : start + n + 99])
+        piece[r.randrange(len(piece))] = r.choice(b"xyz")
+        pieces.append(bytes(piece))
+    counts = np.array([len(p) - 99 for p in pieces])
+    docs, firsts = np.arange(len(pieces)), np.zeros(len(pieces), np.int64)
+    want, seen = set(), {}
+    for i, p in enumerate(pieces):
+        want |= {(i, j) for j in range(counts[i]) if seen.setdefault(p[j : j + 100], (i, j)) != (i, j)}
+    tracemalloc.start()
+    got = sd.later_starts(pieces, docs, firsts, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(zip(*(g.tolist() for g in got), strict=True)) == want and want
+    assert peak < 100 * sum(map(len, pieces))
+
+
+def test_few_texts_at_once(spark, monkeypatch):
+    """The last pass hands a worker WIDE texts at most, whatever the caller then does with the result."""
+    result = sd._result
+
+    def few(b, text):
+        assert b.num_rows <= 1000
+        return result(b, text)
+
+    monkeypatch.setattr(sd, "_result", few)
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    assert sd.remove_repeats(docs).where("n_removed = 0").count() == 2500
