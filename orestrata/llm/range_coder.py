@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"OTI2"
-BLOCK, LANES, LEAST_LANES = 2048, 4096, 256
+BLOCK, LANES, LEAST_LANES = 2048, 2048, 256
 _SLOTS = 8  # bits of a context's slot
 _CONFIDENCE = 24  # bits below an entry's confidence: symbols stay below 2**24
 _RATE = 4  # a weight moves by 1/16 of its error, at every other id
@@ -62,7 +62,8 @@ class _Zero:
         else:
             scaled[order[0]] -= excess
         self.under = np.concatenate([[0], np.cumsum(scaled)])
-        self.of_place = np.repeat(np.arange(n), scaled)
+        self.over = self.under[1:]
+        self.of_place = np.repeat(np.arange(n, dtype=np.int32), scaled)
 
 
 class _Model:
@@ -75,30 +76,30 @@ class _Model:
         sure = np.array([0.01, 0.12, 0.35, 0.5, 0.55, 0.6, 0.6, 0.6])
         self.weight = [np.tile((one * w).reshape(-1).astype(np.int32), n) for w in (np.repeat(sure[:, None], 8, 1), np.repeat(sure[None] * 0.4, 8, 0))]
         self.cap = (int(0.6 * one), int(0.3 * one))
-        self.one = one
+        self.one = np.int32(one)
         self.entry = [np.zeros(n << _SLOTS, np.int32) for _ in range(2)]
         lane = np.arange(n)
         self.shift, self.pair = lane << _SLOTS, lane << 6
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
 
     def narrow(self, n: int) -> None:
         self.shift, self.pair, self.last, self.before = (x[:n] for x in (self.shift, self.pair, self.last, self.before))
 
     def look(self) -> None:
-        """What both orders predict next in every lane (said), their weights, and what order 0 is left (rest)."""
-        one = self.last * 40503
-        two = self.before * 60493
+        """What both orders predict next in every lane (said), their weights, and what order 0 is left (rest). All but places
+        is 32-bit: the products may wrap, as only their low bits are used."""
+        one = self.last * np.int32(40503)
+        two = self.before * np.int32(60493)
         two += one
         for x in (one, two):
             x >>= 3
             x &= (1 << _SLOTS) - 1
-            x += self.shift
-        self.at = (two, one)
-        entries = [e[a] for e, a in zip(self.entry, self.at, strict=True)]
+        self.at = (two + self.shift, one + self.shift)
+        entries = [e.take(a) for e, a in zip(self.entry, self.at, strict=True)]
         self.sure = [e >> _CONFIDENCE for e in entries]
         self.said = [e & ((1 << _CONFIDENCE) - 1) for e in entries]
         self.context = self.pair + ((self.sure[0] << 3) + self.sure[1])
-        self.raw = [w[self.context] for w in self.weight]
+        self.raw = [w.take(self.context) for w in self.weight]
         self.w2, self.w1 = (np.minimum(w, cap) for w, cap in zip(self.raw, self.cap, strict=True))
         self.rest = self.one - self.w2 - self.w1
 
@@ -106,22 +107,29 @@ class _Model:
         """Where the symbols' intervals start and how long they are; under and over: order 0 below and with each."""
         two, one = self.said
         self.hit = (two == symbol, one == symbol)
-        start = (under * self.rest) >> self.bits
-        size = ((over * self.rest) >> self.bits) - start
-        start += self.w2 * (two < symbol)
-        start += self.w1 * (one < symbol)
-        size += self.w2 * self.hit[0]
-        size += self.w1 * self.hit[1]
+        rest = self.rest.astype(np.int64)
+        start = under * rest
+        start >>= self.bits
+        size = over * rest
+        size >>= self.bits
+        size -= start
+        more = self.w2 * (two < symbol)
+        more += self.w1 * (one < symbol)
+        start += more
+        more = self.w2 * self.hit[0]
+        more += self.w1 * self.hit[1]
+        size += more
         return start, size
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """The symbols in whose intervals the places lie."""
         two, one = self.said
-        table, rest = self.zero.under, self.rest
-        start2 = ((table[two] * rest) >> self.bits) + self.w1 * (one < two)
-        end2 = ((table[two + 1] * rest) >> self.bits) + self.w1 * (one <= two) + self.w2
-        start1 = ((table[one] * rest) >> self.bits) + self.w2 * (two < one)
-        end1 = ((table[one + 1] * rest) >> self.bits) + self.w2 * (two <= one) + self.w1
+        under, over, rest = self.zero.under, self.zero.over, self.rest.astype(np.int64)
+        at2, at1 = two.astype(np.int64), one.astype(np.int64)
+        start2 = ((under.take(at2) * rest) >> self.bits) + self.w1 * (one < two)
+        end2 = ((over.take(at2) * rest) >> self.bits) + (self.w1 * (one <= two) + self.w2)
+        start1 = ((under.take(at1) * rest) >> self.bits) + self.w2 * (two < one)
+        end1 = ((over.take(at1) * rest) >> self.bits) + (self.w2 * (two <= one) + self.w1)
         left = place - self.w2 * (place >= end2) - self.w1 * (place >= end1)
         # The last place of order 0 whose share starts at or before what is left; exact, as the quotient is below 2**53.
         at = ((((left + 1) << self.bits) - 1) / rest).astype(np.int64)
@@ -130,11 +138,10 @@ class _Model:
         return np.where((place >= start2) & (place < end2), two, out)
 
     def learn(self, symbol: np.ndarray, weights: int) -> None:
-        ids = symbol.astype(np.int32)
         for k in range(2):
             hit, sure, said = self.hit[k], self.sure[k], self.said[k]
-            new = np.where(hit | (sure > 1), said, ids)
-            new |= _NEXT[(sure << 1) + hit]
+            new = np.where(hit | (sure > 1), said, symbol)
+            new |= _NEXT.take((sure << 1) + hit)
             self.entry[k][self.at[k]] = new
             if weights:
                 raw = self.raw[k]
@@ -179,9 +186,10 @@ def _encode_blocks(blocks: np.ndarray, lengths: np.ndarray, zero: _Zero) -> list
     for t, n in enumerate(_heights(lengths, most)):
         if n < len(model.last):
             model.narrow(n)
-        symbol = columns[t, :n].astype(np.int64)
+        symbol = columns[t, :n]
+        at = symbol.astype(np.int64)
         model.look()
-        start, size = model.interval(symbol, zero.under[symbol], zero.under[symbol + 1])
+        start, size = model.interval(symbol, zero.under.take(at), zero.over.take(at))
         part = span[:n] >> shift
         low[:n] += part * start.view(_U)
         span[:n] = part * size.view(_U)
@@ -222,9 +230,10 @@ def _decode_blocks(payloads: list[bytes], lengths: np.ndarray, zero: _Zero) -> n
             model.narrow(n)
         model.look()
         part = span[:n] >> shift
-        place = np.minimum((ahead[:n] // part).view(np.int64), model.one - 1)
+        place = np.minimum((ahead[:n] // part).view(np.int64), int(model.one) - 1)
         symbol = model.find(place)
-        start, size = model.interval(symbol, zero.under[symbol], zero.under[symbol + 1])
+        at = symbol.astype(np.int64)
+        start, size = model.interval(symbol, zero.under.take(at), zero.over.take(at))
         begin = part * start.view(_U)
         low[:n] += begin
         ahead[:n] -= begin

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import shared_dir
 
-#: Ids in a chunk, at least (the last of a part aside): one set of lanes of whole blocks.
-CHUNK = range_coder.BLOCK * range_coder.LANES
+#: Ids in a chunk, at least (the last of a part aside): two sets of lanes of whole blocks.
+CHUNK = 2 * range_coder.BLOCK * range_coder.LANES
 #: Words whose ids a worker keeps.
 _KEEP = 1_000_000
 #: A word of ASCII or Latin-1 letters, and marks (no apostrophe) behind it.

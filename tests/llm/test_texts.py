@@ -80,6 +80,19 @@ def test_range_coder(n):
     assert n < 3000 or len(chunk) < n  # the constant sequence
 
 
+def test_range_coder_computes_in_32_bits():
+    """Symbols, predictions and weights stay 32-bit: 64-bit ones took more time a step."""
+    zero = range_coder._Zero(np.array([5, 3, 1]))
+    model = range_coder._Model(4, zero)
+    symbol = np.array([0, 1, 2, 0], np.int32)
+    for step in range(2):
+        model.look()
+        model.interval(symbol, zero.under[symbol], zero.under[symbol + 1])
+        assert model.find(np.zeros(4, np.int64)).dtype == np.int32
+        model.learn(symbol, step)
+        assert {x.dtype for x in (model.last, model.before, model.rest, *model.said, *model.raw)} == {np.dtype(np.int32)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 63), max_size=300), st.integers(1, 64))
 def test_range_coder_any_blocks(ids, block):
