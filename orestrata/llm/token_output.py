@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import shared_dir
 
-#: Ids in a chunk, at least (the last of a part aside): two sets of lanes of whole blocks.
-CHUNK = 2 * range_coder.BLOCK * range_coder.LANES
+#: Ids in a chunk, at least (the last of a part aside): one set of lanes of whole blocks.
+CHUNK = range_coder.BLOCK * range_coder.LANES
 #: Words whose ids a worker keeps.
 _KEEP = 1_000_000
 #: A word of ASCII or Latin-1 letters, and marks (no apostrophe) behind it.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: Those marks, in bytes.
+_MARKS = bytes(c for c in range(0x21, 0x7F) if c != 0x27 and not chr(c).isalnum())
 _SCHEMA = "part int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>, bytes binary, crc long"
 
 
@@ -56,15 +58,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.vocabulary, self.model = self.tokenizer.get_vocab_size(), self.tokenizer.model
         self.known, self.tails = _Known(self.ids_of), _Known(self._whole)
         letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]]
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda c: [(c, None)]
         self.spelling = {ord(c): "".join(part for part, _ in cut(c)) for c in letters}
         probes = [*letters, *(c.upper() for c in letters if c != "\xff"), "".join(letters), *(f"Ab{c}l{end}" for c in letters for end in (".", "...", "!?", "$$$", ",***", ")]}_`~"))]
         probes = [w for w in probes if _PLAIN.fullmatch(w)]
-        self.plain = True
+        self.plain, self.simple = True, False
         self.plain = all(self.ids_of(w.encode()) == self._whole(w.encode()) for w in probes)
+        self.simple = self.plain and all(self.spelling[c] == chr(c) for c in range(0x61, 0x7B))
         self.known.clear()
 
     def _whole(self, word: bytes) -> bytes:
@@ -75,9 +78,18 @@ class WordEncoder:
         low = core.lower()
         if tail or low != core:
             return self.known[low.encode()] + (self.tails[tail.encode()] if tail else b"")
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(low.translate(self.spelling))]).tobytes()
+        return self._letters(low.translate(self.spelling))
+
+    def _letters(self, spelt: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def ids_of(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS) if self.simple else b""
+        if core.isalpha():  # ASCII letters alone, and marks: what _plain does, without a pattern
+            low = core.lower()
+            if low == word:
+                return self._letters(low.decode())
+            return self.known[low] + (self.tails[word[len(core) :]] if len(core) < len(word) else b"")
         match = _PLAIN.fullmatch(word.decode()) if self.plain else None
         return self._plain(match) if match else self._whole(word)
 

@@ -135,6 +135,24 @@ def test_word_encoder_is_the_library(docs):
         assert ids.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
+def test_words_of_ascii_letters_need_no_pattern(monkeypatch):
+    """They and the marks behind them give the chain's ids without a match."""
+    encoder = token_output.WordEncoder(WORDS)
+    words = ["one", "Two", "THREE", "four.", "Five!?", "six$$$", "x", "a[b", "don't", "it's.", "7up", "b2", "...", "naïve", "Über.", "a" * 300, "né!", "q'", "_z_"]
+    want = [encoder._whole(w.encode()) for w in words]
+    matched = []
+
+    class Pattern:
+        def fullmatch(self, word):
+            matched.append(word)
+            return plain.fullmatch(word)
+
+    plain = token_output._PLAIN
+    monkeypatch.setattr(token_output, "_PLAIN", Pattern())
+    assert [encoder.known[w.encode()] for w in words] == want
+    assert not any(w.isascii() and w.rstrip(".!?$").isalpha() for w in matched)
+
+
 def test_token_output_notices_changed_lengths(spark, edge, tmp_path):
     token_output.write(edge, WORDS, 1, str(tmp_path / "f"), 1)
     rows = spark.read.parquet(str(tmp_path / "f"))
