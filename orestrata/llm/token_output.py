@@ -5,8 +5,9 @@ row of the (uncompressed) Parquet files that carry the format is one chunk: its
 before it in the part, the doc_ids and lengths of its documents, and the bytes of range_coder, whose blocks are reset and
 checksummed one by one. Spark reads and writes them, so any store that Spark reaches will do.
 
-White space ends a word for the normalizer and the pre-tokenizer alike, so a text's ids are those of its words in turn;
-each worker keeps the ids of words it has met.
+White space ends a word for the normalizer and the pre-tokenizer alike, so a text's ids are those of its words in turn.
+Arrow finds the distinct words of many texts, whose ids are looked up once and dealt out; each worker keeps the ids of words
+it has met, between two tasks those of the first of them only, as idle workers lie beside the executor's heap.
 
 Defined results: a null text is the end id alone; rows that repeat a doc_id follow each other; a null doc_id comes first;
 an empty table gives an empty result; extra columns are not read.
@@ -17,26 +18,34 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import shared_dir
+from .common import lean, shared_dir
 
 #: Ids in a chunk, at least (the last of a part aside): one set of lanes of whole blocks.
 CHUNK = range_coder.BLOCK * range_coder.LANES
-#: Words whose ids a worker keeps.
-_KEEP = 1_000_000
+#: Words whose ids a worker holds, about, and keeps for its next task.
+_MOST, _KEEP = 1_000_000, 300_000
+#: Bytes of texts, about, whose words are looked up at once.
+_PIECE = 16 << 20
 #: A word of ASCII or Latin-1 letters, and marks (no apostrophe) behind it.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 #: Those marks, in bytes.
 _MARKS = bytes(c for c in range(0x21, 0x7F) if c != 0x27 and not chr(c).isalnum())
+#: Those letters, and the lower case of each Latin-1 character, in Latin-1.
+_LETTERS = bytes(c for c in range(0x100) if _PLAIN.fullmatch(chr(c)))
+_LOWER = bytes(c + 0x20 if c in _LETTERS and chr(c).isupper() else c for c in range(0x100))
 _SCHEMA = "part int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>, bytes binary, crc long"
 
 
@@ -51,8 +60,8 @@ class _Known(dict):
 
 class WordEncoder:
     """The ids of texts, word by word. A plain word is lower-cased here and cut by the library's model alone, which is four
-    times as fast as its whole chain; every other word, and every word of a tokenizer whose chain gives other ids for
-    the probes, goes through the chain."""
+    times as fast as its whole chain; every other word, and every word of a tokenizer that does not spell by bytes or whose
+    chain gives other ids for the probes, goes through the chain."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,43 +71,67 @@ class WordEncoder:
         self.known, self.tails = _Known(self.ids_of), _Known(self._whole)
         letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]]
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda c: [(c, None)]
-        self.spelling = {ord(c): "".join(part for part, _ in cut(c)) for c in letters}
+        spelling = {c: "".join(part for part, _ in cut(c)) for c in letters}
+        of_byte = {byte: part for c in letters for byte, part in zip(c.encode(), spelling[c], strict=False)}
+        self.spelling = "".join(of_byte.get(byte, "\ufffe") for byte in range(0x100))  # by byte of UTF-8; U+FFFE: none
         probes = [*letters, *(c.upper() for c in letters if c != "\xff"), "".join(letters), *(f"Ab{c}l{end}" for c in letters for end in (".", "...", "!?", "$$$", ",***", ")]}_`~"))]
         probes = [w for w in probes if _PLAIN.fullmatch(w)]
-        self.plain, self.simple = True, False
-        self.plain = all(self.ids_of(w.encode()) == self._whole(w.encode()) for w in probes)
-        self.simple = self.plain and all(self.spelling[c] == chr(c) for c in range(0x61, 0x7B))
+        self.plain = all(self._spelt(c.encode()) == spelling[c] for c in letters if _PLAIN.fullmatch(c))
+        self.plain = self.plain and all(self.ids_of(w.encode()) == self._whole(w.encode()) for w in probes)
         self.known.clear()
 
     def _whole(self, word: bytes) -> bytes:
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, match: re.Match) -> bytes:
-        core, tail = match.groups()
-        low = core.lower()
-        if tail or low != core:
-            return self.known[low.encode()] + (self.tails[tail.encode()] if tail else b"")
-        return self._letters(low.translate(self.spelling))
-
-    def _letters(self, spelt: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+    def _spelt(self, low: bytes) -> str:
+        """A lower-case word as the model takes it, in which a character stands for a byte."""
+        return charmap_decode(low, "replace", self.spelling)[0]
 
     def ids_of(self, word: bytes) -> bytes:
-        core = word.rstrip(_MARKS) if self.simple else b""
-        if core.isalpha():  # ASCII letters alone, and marks: what _plain does, without a pattern
+        core = word.rstrip(_MARKS)
+        if core.isalpha():  # ASCII letters alone
             low = core.lower()
-            if low == word:
-                return self._letters(low.decode())
-            return self.known[low] + (self.tails[word[len(core) :]] if len(core) < len(word) else b"")
-        match = _PLAIN.fullmatch(word.decode()) if self.plain else None
-        return self._plain(match) if match else self._whole(word)
-
-    def batch(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        else:
+            try:
+                low = core.decode().encode("latin-1")
+            except UnicodeEncodeError:
+                low = b""
+            if not low or low.translate(None, _LETTERS):
+                return self._whole(word)
+            low = low.translate(_LOWER).decode("latin-1").encode()
+        if not self.plain:
+            return self._whole(word)
+        if low == word:
+            return array("I", [t.id for t in self.model.tokenize(self._spelt(low))]).tobytes()
+        return self.known[low] + (self.tails[word[len(core) :]] if len(core) < len(word) else b"")
+
+    def forget(self) -> None:
+        """Keeps the words met first, among which are the frequent ones."""
+        for table in (self.known, self.tails):
+            if len(table) > _KEEP:
+                first = list(islice(table.items(), _KEEP))
+                table.clear()
+                table.update(first)
+
+    def batch(self, texts: list[str | None] | pa.Array, end: int) -> list[np.ndarray]:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        last, of = array("I", [end]).tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join([*map(of, t.encode().split()), last]) if t else last, np.uint32) for t in texts]
+        if len(self.known) > _MOST:
+            self.forget()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # at a text's ends they may be empty, which has no ids
+        places = words.flatten().dictionary_encode()
+        distinct = list(map(self.known.__getitem__, places.dictionary.cast(pa.large_binary()).to_pylist()))
+        _, ends, ids = pa.array(distinct, pa.large_binary()).take(places.indices).buffers()
+        ends = np.frombuffer(ends, np.int64).take(words.offsets.to_numpy()) // 4
+        ids = np.frombuffer(ids or b"", np.uint32)
+        out = []
+        for start, stop in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own = np.empty(stop - start + 1, np.uint32)
+            own[:-1], own[-1] = ids[start:stop], end
+            out.append(own)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -127,27 +160,31 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str, partitions: int
         def row():
             all_ids = np.concatenate(ids)
             lengths = [len(i) for i in ids]
+            ids.clear()
             head = (part, chunk, first, len(all_ids))
             values = [*([h] for h in head), [doc_ids], [lengths], [range_coder.encode(all_ids, encoder.vocabulary)], [_checksum(*head, doc_ids, lengths)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
             names = ["part", "chunk", "first", "n_ids", "doc_ids", "lengths", "bytes", "crc"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
-                texts = piece.column("text").to_pylist()
-                for doc_id, own in zip(piece.column("doc_id").to_pylist(), encoder.batch(texts, end), strict=True):
-                    ids.append(own)
-                    doc_ids.append(doc_id)
-                    held += len(own)
-                    if held >= CHUNK:
-                        yield row()
-                        first, chunk, held, ids, doc_ids = first + held, chunk + 1, 0, [], []
-        if ids:
-            yield row()
-
-    rows.mapInArrow(run, _SCHEMA).write.option("compression", "none").option("maxRecordsPerFile", 8).parquet(path)
+        try:
+            for b in batches:
+                step = max(1, _PIECE * b.num_rows // max(1, b.nbytes))
+                for at in range(0, b.num_rows, step):
+                    piece = b.slice(at, step)
+                    for doc_id, own in zip(piece.column("doc_id").to_pylist(), encoder.batch(piece.column("text"), end), strict=True):
+                        ids.append(own)
+                        doc_ids.append(doc_id)
+                        held += len(own)
+                        if held >= CHUNK:
+                            yield row()
+                            first, chunk, held, doc_ids = first + held, chunk + 1, 0, []
+            if ids:
+                yield row()
+        finally:
+            encoder.forget()
+
+    rows.mapInArrow(lean(run), _SCHEMA).write.option("compression", "none").option("maxRecordsPerFile", 8).parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -186,7 +223,7 @@ def _read(spark, path: str, field: str, derive) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([one.column("doc_ids").flatten(), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), derive(own)], names=["doc_id", "start", "n_tokens", name])
 
     rows = files.join(F.broadcast(starts), "part").select(*files.columns, "before")
-    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
+    return rows.mapInArrow(lean(run), f"doc_id long, start long, n_tokens long, {field}")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:

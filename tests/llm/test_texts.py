@@ -153,6 +153,45 @@ def test_words_of_ascii_letters_need_no_pattern(monkeypatch):
     assert not any(w.isascii() and w.rstrip(".!?$").isalpha() for w in matched)
 
 
+def test_range_coder_holds_few_bytes_an_id():
+    """Workers lie beside the executor's heap: 17 bytes an id each way were too many."""
+    import tracemalloc
+
+    ids = (np.random.default_rng(1).zipf(1.3, 1 << 21) % 49_408).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        chunk = range_coder.encode(ids, 49_408)
+        assert tracemalloc.get_traced_memory()[1] < 14 * len(ids)
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        assert np.array_equal(range_coder.decode(chunk), ids)
+        assert tracemalloc.get_traced_memory()[1] - before < 12 * len(ids)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("n", [200_000, (1 << 20) - 1])
+def test_range_coder_of_ids_that_all_differ(n):
+    ids = np.random.default_rng(n).permutation(n)
+    assert np.array_equal(range_coder.decode(range_coder.encode(ids, n)), ids)
+
+
+def test_range_coder_never_gives_other_ids():
+    """A changed bit is noticed, or it is one that a block's last word does not need."""
+    r = np.random.default_rng(5)
+    ids = r.zipf(1.3, 3000) % 977
+    chunk = range_coder.encode(ids, 1000)
+    noticed = 0
+    for at in r.integers(0, len(chunk), 60):
+        bad = bytearray(chunk)
+        bad[at] ^= 1 << int(r.integers(8))
+        try:
+            assert np.array_equal(range_coder.decode(bytes(bad)), ids)
+        except range_coder.Corrupt:
+            noticed += 1
+    assert noticed > 45
+
+
 def test_token_output_notices_changed_lengths(spark, edge, tmp_path):
     token_output.write(edge, WORDS, 1, str(tmp_path / "f"), 1)
     rows = spark.read.parquet(str(tmp_path / "f"))
