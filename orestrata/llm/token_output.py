@@ -6,8 +6,9 @@ before it in the part, the doc_ids and lengths of its documents, and the bytes o
 checksummed one by one. Spark reads and writes them, so any store that Spark reaches will do.
 
 White space ends a word for the normalizer and the pre-tokenizer alike, so a text's ids are those of its words in turn.
-Arrow finds the distinct words of many texts, whose ids are looked up once and dealt out; each worker keeps the ids of words
-it has met, between two tasks those of the first of them only, as idle workers lie beside the executor's heap.
+Arrow finds the distinct words of many texts, parts plain ones from the marks behind them, looks up those met before and deals
+the ids out, so the library is called once a new word. Words that a worker has met are kept in Arrow, in some 40 bytes each, as
+idle workers lie beside the executor's heap.
 
 Defined results: a null text is the end id alone; rows that repeat a doc_id follow each other; a null doc_id comes first;
 an empty table gives an empty result; extra columns are not read.
@@ -21,7 +22,6 @@ from array import array
 from codecs import charmap_decode
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,13 @@ from .common import lean, shared_dir
 
 #: Ids in a chunk, at least (the last of a part aside): one set of lanes of whole blocks.
 CHUNK = range_coder.BLOCK * range_coder.LANES
-#: Words whose ids a worker holds, about, and keeps for its next task.
-_MOST, _KEEP = 1_000_000, 300_000
+#: Words whose ids a worker keeps: those met first, among which are the frequent ones.
+_KEEP = 500_000
 #: Bytes of texts, about, whose words are looked up at once.
-_PIECE = 16 << 20
-#: A word of ASCII or Latin-1 letters, and marks (no apostrophe) behind it.
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+_PIECE = 8 << 20
+#: ASCII or Latin-1 letters; a word of them, and marks (no apostrophe) behind it.
+_CORE = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"
+_PLAIN = re.compile(rf"({_CORE})([!-&(-/:-@\[-`{{-~]*)")
 #: Those marks, in bytes.
 _MARKS = bytes(c for c in range(0x21, 0x7F) if c != 0x27 and not chr(c).isalnum())
 #: Those letters, and the lower case of each Latin-1 character, in Latin-1.
@@ -69,6 +70,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary, self.model = self.tokenizer.get_vocab_size(), self.tokenizer.model
         self.known, self.tails = _Known(self.ids_of), _Known(self._whole)
+        self.met, self.met_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]]
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda c: [(c, None)]
         spelling = {c: "".join(part for part, _ in cut(c)) for c in letters}
@@ -105,25 +107,40 @@ class WordEncoder:
             return array("I", [t.id for t in self.model.tokenize(self._spelt(low))]).tobytes()
         return self.known[low] + (self.tails[word[len(core) :]] if len(core) < len(word) else b"")
 
-    def forget(self) -> None:
-        """Keeps the words met first, among which are the frequent ones."""
-        for table in (self.known, self.tails):
-            if len(table) > _KEEP:
-                first = list(islice(table.items(), _KEEP))
-                table.clear()
-                table.update(first)
+    def _look_up(self, keys: pa.Array) -> pa.Array:
+        """The ids of distinct words, as bytes."""
+        at = np.array(pc.index_in(keys, value_set=self.met).fill_null(-1))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = keys.take(pa.array(new))
+            at[new] = np.arange(len(self.met), len(self.met) + len(new))
+            self.met = pa.concat_arrays([self.met, words])
+            self.met_ids = pa.concat_arrays([self.met_ids, pa.array(list(map(self.ids_of, words.cast(pa.large_binary()).to_pylist())), pa.large_binary())])
+        out = self.met_ids.take(pa.array(at))
+        self.met, self.met_ids = self.met.slice(0, _KEEP), self.met_ids.slice(0, _KEEP)
+        return out
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, as bytes; the core of a plain word is looked up without its case and marks."""
+        if not self.plain:
+            return self._look_up(words)
+        core = pc.utf8_rtrim(words, characters=_MARKS.decode())
+        plain = pc.match_substring_regex(core, f"^{_CORE}$")
+        keys = pc.if_else(plain, pc.utf8_lower(core), words).dictionary_encode()
+        tails = pc.if_else(plain, pc.utf8_ltrim(words, characters=_LETTERS.decode("latin-1")), "").dictionary_encode()
+        of_tails = [self.tails[tail] if tail else b"" for tail in tails.dictionary.cast(pa.large_binary()).to_pylist()]
+        return pc.binary_join_element_wise(
+            self._look_up(keys.dictionary).take(keys.indices), pa.array(of_tails, pa.large_binary()).take(tails.indices), pa.scalar(b"", pa.large_binary())
+        )
 
     def batch(self, texts: list[str | None] | pa.Array, end: int) -> list[np.ndarray]:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
-        if len(self.known) > _MOST:
-            self.forget()
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not len(texts):
             return []
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # at a text's ends they may be empty, which has no ids
         places = words.flatten().dictionary_encode()
-        distinct = list(map(self.known.__getitem__, places.dictionary.cast(pa.large_binary()).to_pylist()))
-        _, ends, ids = pa.array(distinct, pa.large_binary()).take(places.indices).buffers()
+        _, ends, ids = self._ids(places.dictionary).take(places.indices).buffers()
         ends = np.frombuffer(ends, np.int64).take(words.offsets.to_numpy()) // 4
         ids = np.frombuffer(ids or b"", np.uint32)
         out = []
@@ -167,22 +184,21 @@ def write(docs: DataFrame, tokenizer: str, end: int, path: str, partitions: int
             names = ["part", "chunk", "first", "n_ids", "doc_ids", "lengths", "bytes", "crc"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        try:
-            for b in batches:
-                step = max(1, _PIECE * b.num_rows // max(1, b.nbytes))
-                for at in range(0, b.num_rows, step):
-                    piece = b.slice(at, step)
-                    for doc_id, own in zip(piece.column("doc_id").to_pylist(), encoder.batch(piece.column("text"), end), strict=True):
-                        ids.append(own)
-                        doc_ids.append(doc_id)
-                        held += len(own)
-                        if held >= CHUNK:
-                            yield row()
-                            first, chunk, held, doc_ids = first + held, chunk + 1, 0, []
-            if ids:
-                yield row()
-        finally:
-            encoder.forget()
+        for b in batches:
+            step = max(1, _PIECE * b.num_rows // max(1, b.nbytes))
+            for at in range(0, b.num_rows, step):
+                piece = b.slice(at, step)
+                own_ids = encoder.batch(piece.column("text"), end)
+                pa.default_memory_pool().release_unused()  # before the coder takes memory from another
+                for doc_id, own in zip(piece.column("doc_id").to_pylist(), own_ids, strict=True):
+                    ids.append(own)
+                    doc_ids.append(doc_id)
+                    held += len(own)
+                    if held >= CHUNK:
+                        yield row()
+                        first, chunk, held, doc_ids = first + held, chunk + 1, 0, []
+        if ids:
+            yield row()
 
     rows.mapInArrow(lean(run), _SCHEMA).write.option("compression", "none").option("maxRecordsPerFile", 8).parquet(path)
 

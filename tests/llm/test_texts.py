@@ -153,6 +153,29 @@ def test_words_of_ascii_letters_need_no_pattern(monkeypatch):
     assert not any(w.isascii() and w.rstrip(".!?$").isalpha() for w in matched)
 
 
+def test_the_library_cuts_a_new_word_once(monkeypatch):
+    """Whatever its case, the marks behind it and the texts that hold it; and few words are kept."""
+    encoder = token_output.WordEncoder(WORDS)
+    texts = ["The cat. the CAT", None, "  cat!? È è. THE  ", "", "don't don't"]
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    cut, ids_of = [], encoder.ids_of
+    monkeypatch.setattr(encoder, "ids_of", lambda w: cut.append(w) or ids_of(w))
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.batch(texts, 1)] == want
+    assert sorted(filter(None, cut)) == sorted(w.encode() for w in ("the", "cat", "è", "don't"))
+    monkeypatch.setattr(token_output, "_KEEP", 2)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.batch([*texts, "dog", "cow dog."], 1)][:-2] == want
+        assert len(encoder.met) == len(encoder.met_ids) == 2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abAB .!'-_$1<|>\n\x0b\x85\xa0éÉßÿµª×Σσς\u0301İﬁ日\U0001f600"), max_size=24), max_size=4))
+def test_word_encoder_on_odd_texts(texts):
+    encoder = token_output._encoder(WORDS)
+    assert [x.tolist() for x in encoder.batch(texts, 1)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_range_coder_holds_few_bytes_an_id():
     """Workers lie beside the executor's heap: 17 bytes an id each way were too many."""
     import tracemalloc
